@@ -88,9 +88,9 @@ WITH records AS (
 ), sized AS (
   SELECT *, head || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html AS body FROM records
 ), placed AS (
-  SELECT *, strlen(body) AS size, coalesce(sum(strlen(body)) OVER (PARTITION BY segment ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM sized
+  SELECT *, strlen(body) AS size, coalesce(sum(strlen(body)) OVER (PARTITION BY segment ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM sized
 )
-SELECT page_id, CASE WHEN h LIKE '00%' THEN 'corrupt' ELSE 'missing' END AS status, segment, at::BIGINT AS "offset", size::BIGINT AS size,
+SELECT page_id, CASE WHEN h LIKE '00%' THEN 'corrupt' ELSE 'missing' END AS status, segment, place::BIGINT AS "offset", size::BIGINT AS size,
   sha256(body) AS expected,
   CASE WHEN h LIKE '00%' THEN sha256(head || (strlen(html) + 1) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(10)) END AS found
 FROM placed WHERE h LIKE '00%' OR h LIKE '01%'"""
