@@ -18,13 +18,14 @@ from quillspark.functions.normalise import normalise
 from quillspark.operators import locate as loc
 from quillspark.operators import region
 from quillspark.plans import contract
+from quillspark.sources.tables import materialise
 
 INTERVAL = "struct<start_pos:int,end_pos:int,basis:string>"
 BASIS = "normalised_document"
 
 
 def prepare_corpus(papers: DataFrame, key: str = "paper_id") -> DataFrame:
-    """(paper_id, raw, norm, match, header_end, pages, region, marker_style) of held documents.
+    """(paper_id, raw, norm, match, header_end, pages, region, marker_style), as a written table.
 
     A document that is null or blank is not held; it has null forms.
     """
@@ -35,7 +36,7 @@ def prepare_corpus(papers: DataFrame, key: str = "paper_id") -> DataFrame:
     before = F.when(F.col("region.start_char").isNull(), F.col("raw")).otherwise(F.substring("raw", F.lit(1), F.col("region.start_char").cast("int")))
     docs = docs.withColumn("__body", before).withColumn("__years", F.size(markers.author_year_udf("__body")).cast("long"))
     style = markers.style_column(markers.count_bracketed(F.col("__body")), F.col("__years"), F.col("region.start_char").isNotNull())
-    return docs.withColumn("marker_style", style).drop("__body", "__years")
+    return materialise(docs.withColumn("marker_style", style).drop("__body", "__years"), "corpus")
 
 
 def prepare_quotes(quotes: DataFrame, key: str = "quote_id") -> DataFrame:
@@ -45,7 +46,7 @@ def prepare_quotes(quotes: DataFrame, key: str = "quote_id") -> DataFrame:
     clamp = scalars.threshold(F.col("t_locate") if "t_locate" in asked else F.lit(anchor.T_LOCATE))
     quotes = quotes.withColumn("__clamp", clamp).withColumn("t_locate", F.col("__clamp.t")).withColumn("threshold_noted", F.when(F.col("__clamp.noted"), 1).otherwise(0)).drop("__clamp")
     out = loc.prepare(quotes, key, "quote")
-    return out.withColumn("guard", scalars.guard(F.col("quote"), F.col("norm")))
+    return materialise(out.withColumn("guard", scalars.guard(F.col("quote"), F.col("norm"))), "quotes")
 
 
 def _decorate(rows: DataFrame, docs: DataFrame, doc_key: str) -> DataFrame:
@@ -147,11 +148,13 @@ def verify_quotes(papers: DataFrame, quotes: DataFrame, mode: str = "blocked", c
         .when(F.lit(not some_held), "SOURCE_NOT_HELD")
     )
     known = known.withColumn("early", early)
+    known = materialise(known, "asked")
     open_ = known.where("early IS NULL").select("quote_id", "quote", "norm", "match", "t_locate", "paper_id")
-    found = _outside_header(loc.locate(held, open_, mode), held, "paper_id")
+    found = materialise(_outside_header(loc.locate(held, open_, mode), held, "paper_id"), "found")
     shown = found.where("in_header = 0")
     ranked = loc.best_with_others(loc.rank(shown))
     hidden = found.where("in_header = 1").groupBy("quote_id").agg(F.array_sort(F.collect_set(F.col("paper_id").cast("string"))).alias("header_hits"))
+    ranked = materialise(ranked, "ranked")
     best = open_.select("quote_id", F.col("paper_id").alias("asked_id")).join(ranked.withColumnRenamed("paper_id", "best_id"), "quote_id", "left").join(hidden, "quote_id", "left")
     located = best.where("offset_norm IS NOT NULL").withColumn("paper_id", F.col("best_id"))
     spans = _decorate(located.select("quote_id", "paper_id", "offset_norm", "length_norm"), held, "paper_id").drop("paper_id", "offset_norm", "length_norm", "header_end")
@@ -221,7 +224,7 @@ def find_passages(papers: DataFrame, queries: DataFrame, max_hits: int | None =
     rows = rows.withColumn("outcome", F.when(F.col("guard").isNotNull(), "NOT_LOCATABLE").when(F.col("n_searched") == 0, "SOURCE_UNKNOWN").otherwise("OK"))
     open_ = rows.where("outcome = 'OK'").select("quote_id", "quote", "norm", "match", "t_locate")
     found = loc.locate(held, open_, tiers=(anchor.EXACT, anchor.RELAXED))
-    found = _outside_header(found, held, "paper_id").where("in_header = 0")
+    found = materialise(_outside_header(found, held, "paper_id").where("in_header = 0"), "found")
     free = found.join(rows.where(~restricted).select("quote_id"), "quote_id", "left_semi")
     bound = found.join(wanted.where("known IS NOT NULL").select("quote_id", "paper_id"), ["quote_id", "paper_id"])
     hits = free.unionByName(bound.select(free.columns))

@@ -83,7 +83,7 @@ def entry_errors(papers: DataFrame) -> DataFrame:
         tests.append(_bad(value(f).rlike(r"^(/|[A-Za-z]:)"), where(f), "is absolute"))
         tests.append(_bad(value(f).rlike(r"(^|/)\.\.(/|$)"), where(f), "leaves the corpus"))
     found = at.select(F.explode(F.array_compact(F.array(*tests))).alias("e")).select("e.*")
-    twice = at.select("place", value("paper_id").alias("id")).where("id IS NOT NULL").groupBy("id").agg(F.array_sort(F.collect_list("place")).alias("at")).where(F.size("at") > 1)
+    twice = at.select("place", value("paper_id").alias("id")).where("id RLIKE '[^ ]'").groupBy("id").agg(F.array_sort(F.collect_list("place")).alias("at")).where(F.size("at") > 1)
     pairs = twice.select(F.concat(F.lit("papers["), F.element_at("at", 2).cast("string"), F.lit("].paper_id")).alias("place"), F.concat(F.lit("repeats papers["), F.element_at("at", 1).cast("string"), F.lit("]")).alias("message"))
     return found.unionByName(pairs)
 
