@@ -521,7 +521,7 @@ def marker_style(spark, sf_dir):
 @query("SELECT doc_id, 1::BIGINT AS inside, 3::BIGINT AS beside FROM documents")
 def marker_inside_beside(spark, sf_dir):
     """Markers that overlap a span, and those around it."""
-    rows = shaped(spark, sf_dir, MARKED).withColumn("tail", F.expr("substring(raw, length(raw) - 60 - length(CAST(doc_id % 90 AS STRING)))")).withColumn("s", markers.marker_udf("tail"))
+    rows = shaped(spark, sf_dir, MARKED).withColumn("tail", F.expr("substring(raw, greatest(1, length(raw) - 60 - length(CAST(doc_id % 90 AS STRING))))")).withColumn("s", markers.marker_udf("tail"))
     at = F.instr("tail", "[3, 4]") - 1
     inside = markers.overlap_count(F.col("s"), at + 1, at + 3)
     return rows.select("doc_id", inside.alias("inside"), (F.size("s") - inside).alias("beside"))
