@@ -1,51 +1,55 @@
-"""Helpers that the training-data operators share: table access, lineage cuts, held-out rows."""
+"""Helpers that the training-data operators share: table access, memory of tasks, held-out rows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Serialised size up to which a table may be sent to every executor.
-BROADCAST_BYTES = 64 << 20
+from quillspark.sources.tables import checkpoint_dir, drop_table, materialise
+
+__all__ = ["arrow_task", "bound_batches", "checkpoint_dir", "drop_table", "held_out", "materialise", "pick", "read_table"]
+
+
+#: Bytes of an Arrow batch on its way to and from Python.
+BATCH_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; an own folder only where none is set, as in tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    own = tempfile.mkdtemp(prefix="quillspark-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, as texts may be very long; a bound below Spark's own stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) not in range(1, 64 << 20):
+        spark.conf.set(name, str(BATCH_BYTES))
+
 
+def release() -> None:
+    """Give the memory that a task has freed back to the system, as workers outlive their tasks."""
+    import ctypes
+    import gc
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage.
+    import pyarrow as pa
 
-    Lost executors then re-read the table instead of recomputing what made it.
-    """
-    path = f"{checkpoint_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
-def drop_table(df: DataFrame) -> None:
-    """Remove a table that ``materialise`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def arrow_task(run):
+    """``run`` over Arrow batches, with its memory released at its end."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
 
 
 def held_out(doc_id: Column) -> Column:
@@ -53,14 +57,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fresh_name(df: DataFrame, stem: str) -> str:
-    """A column name that ``df`` does not have, in any spelling of case."""
-    taken, name = {c.lower() for c in df.columns}, f"__{stem}"
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, found by exact spelling, then by spelling without case."""
     own = df.toDF(*[f"c{i}" for i in range(len(df.columns))])

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import pick
+from quillspark.llm.common import arrow_task, bound_batches, pick
 from quillspark.llm.suffixes import suffix_array
 
 WINDOW = 10
@@ -217,6 +217,7 @@ def _blocks(items: DataFrame, block_words: int) -> list[DataFrame]:
 
 def _spans(docs: DataFrame, phrases: Phrases, shard_words: int, carry: list[str]) -> DataFrame:
     """The carried columns with n_words, starts, ends (merged word spans) and item ids as text."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(phrases)
     text_at = docs.columns.index("text")
     carry_at = [docs.columns.index(c) for c in carry]
@@ -252,7 +253,7 @@ def _spans(docs: DataFrame, phrases: Phrases, shard_words: int, carry: list[str]
             yield from finish(kept, docs)
 
     fields = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in carry)
-    return docs.mapInArrow(run, f"{fields}, n_words long, starts array<long>, ends array<long>, items array<string>")
+    return docs.mapInArrow(arrow_task(run), f"{fields}, n_words long, starts array<long>, ends array<long>, items array<string>")
 
 
 def _spans_of_all(docs: DataFrame, items: DataFrame, carry: list[str], window: int, shard_words: int, block_words: int) -> DataFrame:
@@ -298,7 +299,7 @@ def _digest(found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hit, pa.int64()), pa.array(n, pa.int64()), pa.array(sha), pa.array([h > 0 for h in hit])], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     kind = dict(found.dtypes)["doc_id"]
-    return found.mapInArrow(counts, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return found.mapInArrow(arrow_task(counts), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def cut_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -337,7 +338,7 @@ def cut_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_wor
             yield pa.RecordBatch.from_arrays(cols, carry)
 
     fields = ", ".join(f"`{c}` {t}" for c, t in frame.dtypes)
-    out = found.mapInArrow(run, fields).toDF(*names)
+    out = found.mapInArrow(arrow_task(run), fields).toDF(*names)
     if "n_chars" in lower:
         n = names[lower.index("n_chars")]
         out = out.withColumn(n, F.when(F.col(at).isNull() | F.col(n).isNull(), F.col(n)).otherwise(F.length(at)).cast(dict(own.dtypes)[n]))

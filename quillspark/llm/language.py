@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quillspark.llm.common import held_out, materialise, pick
+from quillspark.llm.common import arrow_task, bound_batches, held_out, materialise, pick
 
 MAX_ROWS = 24_000
 MAX_WORDS = 60_000
@@ -37,7 +37,7 @@ ABSENT = 7.0
 UNKNOWN = "und"
 #: Words from which on more words no longer raise the score, and its steepness.
 CERTAIN_WORDS, STEEPNESS = 24, 1.0
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 32 << 20
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -145,6 +145,7 @@ def fit(docs: DataFrame, usable: Column | None = None, max_rows: int = MAX_ROWS,
 
 def identify(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
+    bound_batches(docs.sparkSession)
     docs = pick(docs, "doc_id", "text", "lang")
     model = fit(docs, ~held_out(F.col("doc_id")), max_rows)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -156,11 +157,12 @@ def identify(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(arrow_task(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, max_rows: int = MAX_ROWS) -> DataFrame:
     """The rows of ``docs`` whose language is known with a score of ``least`` or more; same columns."""
+    bound_batches(docs.sparkSession)
     own = pick(docs, "doc_id", "text", "lang")
     model = fit(own, ~held_out(F.col("doc_id")), max_rows)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -174,4 +176,4 @@ def keep_identified(docs: DataFrame, least: float = 0.5, max_rows: int = MAX_ROW
             yield b.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
     frame = docs.toDF(*names)
-    return frame.mapInArrow(run, frame.schema).toDF(*docs.columns)
+    return frame.mapInArrow(arrow_task(run), frame.schema).toDF(*docs.columns)

@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialise, pick
+from quillspark.llm.common import arrow_task, bound_batches, materialise, pick
 
 LENGTH = 4096
 OPEN = 32
 MERGE = 256
 END_ID = 2
-CACHE = 300_000
+CACHE = 200_000
 
 #: What the fast path may hold: ASCII without control characters, and the Latin letters whose
 #: composed form and lower case are one character in every library.
@@ -176,6 +176,7 @@ def _table(out: list[tuple], kind: pa.DataType, extra: list | None = None) -> pa
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, n_open: int = OPEN, merge: int = MERGE, make: Callable[[str], object] = tokenizer) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    bound_batches(docs.sparkSession)
     docs = pick(docs, "doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -197,7 +198,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, n_open: int = OPEN, m
             yield _table(packer.out, id_type, [pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())])
             yield _table(left, id_type, [pa.array([part] * len(left), pa.int64()), pa.array([p[2].astype("<u4").tobytes() for p in left], pa.binary())])
 
-    pieces = materialise(docs.mapInArrow(run, f"{_PIECES.format(kind=kind)}, part long, ids binary"), "packing")
+    pieces = materialise(docs.mapInArrow(arrow_task(run), f"{_PIECES.format(kind=kind)}, part long, ids binary"), "packing")
     names = pieces.columns[:7]
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,4 +220,4 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, n_open: int = OPEN, m
 
     left = pieces.where("part IS NOT NULL").select("doc_id", "start", "doc_tokens", "part", "ids")
     left = left.repartition(F.floor(F.col("part") / merge)).sortWithinPartitions("part", "doc_id", "start")
-    return pieces.where("part IS NULL").select(*names).unionByName(left.mapInArrow(last, _PIECES.format(kind=kind)))
+    return pieces.where("part IS NULL").select(*names).unionByName(left.mapInArrow(arrow_task(last), _PIECES.format(kind=kind)))

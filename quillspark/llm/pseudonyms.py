@@ -81,18 +81,24 @@ def _luhn(text: str) -> str:
     return _with([("n", f"regexp_replace({text}, '[^0-9]', '')"), ("d", _DIGITS)], f"{_LUHN} % 10")
 
 
+def _written(digits: str) -> str:
+    """SQL for a match m with its digits replaced, in their order, by those of another expression."""
+    nth = "length(regexp_replace(substring(m, 1, k), '[^0-9]', ''))"
+    return _with([("o", digits)], f"array_join(transform(sequence(1, length(m)), k -> CASE WHEN substring(m, k, 1) RLIKE '[0-9]' THEN substring(o, {nth}, 1) ELSE substring(m, k, 1) END), '')")
+
+
 def _value(key: str, back: bool) -> str:
     """SQL for the pseudonym of a match m, or m where its check fails."""
     numbers = lambda *x: f"array({', '.join(f'CAST({v} AS BIGINT)' for v in x)})"
     zero = lambda n: f"array_repeat(0L, {n})"
-    before = "length(regexp_replace(substring(m, 1, i), '[^0-9]', ''))"
-    total = "length(regexp_replace(m, '[^0-9]', ''))"
     email = _characters("email", key, back, "i >= length(m) - locate('.', reverse(m))")
     secret = _characters("key", key, back, "i < length(regexp_extract(m, '^(?:AKIA| {0,2}[=:] {0,2}[\"\\']?)', 0))")
-    nth = f"({before} - ({total} - 10))"
-    phone = _characters("phone", key, back, f"c RLIKE '[0-9]' AND {nth} < 0", f"c RLIKE '[0-9]' AND {nth} IN (0, 3)")
-    card = _characters("card", key, back, f"c RLIKE '[0-9]' AND {before} = {total} - 1")
-    card = _with([("p", f"concat(substring({card}, 1, length(m) - 1), '0')")], "concat(substring(p, 1, length(p) - 1), CAST(pmod(10 - " + _luhn("p") + ", 10) AS STRING))")
+    # A number's digits are permuted by themselves, so all ways of writing it have one pseudonym.
+    number = "regexp_replace(m, '[^0-9]', '')"
+    phone = _with([("n", number), ("m", "right(n, 10)")], f"concat(substring(n, 1, length(n) - 10), {_characters('phone', key, back, 'false', 'i IN (0, 3)')})")
+    payload = _with([("n", number), ("m", "substring(n, 1, length(n) - 1)")], _characters("card", key, back, "false"))
+    card = _with([("p", f"concat({payload}, '0')")], "concat(substring(p, 1, length(p) - 1), CAST(pmod(10 - " + _luhn("p") + ", 10) AS STRING))")
+    phone, card = _written(phone), _written(card)
     parts = "transform(split(m, '[.]'), x -> CAST(x AS BIGINT))"
     ip = _with([("vs", parts)], f"array_join(CAST({_permute('vs', zero(4), 'array_repeat(256L, 4)', 'ip', key, back)} AS ARRAY<STRING>), '.')")
     # Areas 000, 666 and 900 to 999 are none, nor is group 00 or serial 0000.

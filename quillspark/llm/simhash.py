@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import drop_table, materialise, pick
+from quillspark.llm.common import arrow_task, bound_batches, drop_table, materialise, pick
 
 #: Different fingerprints that one signature may hold before it is dealt again.
 BUCKET = 512
@@ -64,8 +64,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
+    bound_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.mapInArrow(arrow_task(run), f"doc_id {kind}, fp long")
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -180,7 +181,7 @@ def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKE
     keyed = distinct_fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(65))).alias("n")).select(
         F.expr(f"CASE WHEN n < 33 THEN {_signature(low, 0, 'n', 32)} ELSE {_signature(high, 1, '(n - 33)', 32)} END").alias("key"), "fp"
     )
-    found = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_search(1, 1, max_bits, bucket), "key long, a long, b long")
+    found = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(arrow_task(_search(1, 1, max_bits, bucket)), "key long, a long, b long")
     found = materialise(found, "simhash-buckets")
     over = found.where("key >= 0")
     first = found.where("key < 0").select("a", "b")
@@ -191,7 +192,7 @@ def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKE
     low, high = "o & 65535L", "shiftrightunsigned(o, 16)"
     deeper = wide.select("key", F.expr(f"CASE WHEN n < 17 THEN {_signature(low, 0, 'n', 16)} ELSE {_signature(high, 1, '(n - 17)', 16)} END").alias("sub"), "fp")
     # The wiped bit of the first signature need not differ here: more links hold than are needed, none is wrong.
-    second = deeper.repartition("key", "sub").sortWithinPartitions("key", "sub", "fp").mapInArrow(_search(2, 2, max_bits, 1 << 62), "key long, a long, b long")
+    second = deeper.repartition("key", "sub").sortWithinPartitions("key", "sub", "fp").mapInArrow(arrow_task(_search(2, 2, max_bits, 1 << 62)), "key long, a long, b long")
     return first.unionByName(second.select("a", "b"))
 
 

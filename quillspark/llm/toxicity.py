@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import held_out, materialise, pick
+from quillspark.llm.common import arrow_task, bound_batches, held_out, materialise, pick
 
 MAX_ROWS = 12_000
 PATTERNS = 2_000
 THRESHOLD = 0.7
 STEMS = (3, 4, 5, 6, 7)
-CACHE = 300_000
+CACHE = 200_000
 
 # Words of the grammar.
 INSULTS = "idiot idiots moron morons stupid imbecile loser scum trash worthless pathetic disgusting clown vermin"
@@ -178,6 +178,7 @@ def _regress(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Grammar:
     """The grammar learnt from rows that are not held out; see the module's text for the bound."""
+    bound_batches(docs.sparkSession)
     marks = pick(labels, "doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     marks = marks.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sizes = {r[0]: r[1] for r in marks.groupBy("toxic").count().collect()}
@@ -213,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Grammar
             x = np.array([machine.features(t.as_py()) for t in b.column(0)]).reshape(-1, 5)
             yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(x[:, k]) for k in range(5))], ["y", *(f"x{k}" for k in range(5))])
 
-    found = sample.mapInArrow(run, "y int, " + ", ".join(f"x{k} double" for k in range(5))).toPandas()
+    found = sample.mapInArrow(arrow_task(run), "y int, " + ", ".join(f"x{k} double" for k in range(5))).toPandas()
     grammar = shared.value
     grammar.weights = _regress(found.iloc[:, 1:].to_numpy(), (found["y"] == 1).to_numpy(float))
     return grammar
@@ -221,6 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Grammar
 
 def score(docs: DataFrame, grammar: Grammar, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
+    bound_batches(docs.sparkSession)
     docs = pick(docs, "doc_id", "text")
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
 
@@ -231,7 +233,7 @@ def score(docs: DataFrame, grammar: Grammar, threshold: float = THRESHOLD) -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(arrow_task(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def detect(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshold: float = THRESHOLD) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialise, pick
+from quillspark.llm.common import arrow_task, bound_batches, materialise, pick
 
 K = 5
 CELLS = 64
@@ -53,7 +53,7 @@ def _packed(rows: DataFrame, least: int, width: float, cells: int) -> DataFrame:
             out = [np.minimum((np.array(v, np.float64) - least) // width, cells - 1).astype(np.uint8).tobytes() for v in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["key", "cells"])
 
-    return rows.select("key", "v").mapInArrow(run, "key long, cells binary")
+    return rows.select("key", "v").mapInArrow(arrow_task(run), "key long, cells binary")
 
 
 def _scan(k: int, least: int, width: float):
@@ -81,6 +81,7 @@ def _scan(k: int, least: int, width: float):
 
 def search(vectors: DataFrame, is_query: Column, k: int = K, cells: int = CELLS, group: int = GROUP, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best other rows, ties to smaller ids."""
+    bound_batches(vectors.sparkSession)
     rows = materialise(integers(vectors).distinct().withColumn("hash", F.xxhash64("v")), "vafile-vectors")
     span = rows.agg(F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
     least, most = (0, 0) if span[0] is None else (int(span[0]), int(span[1]))
