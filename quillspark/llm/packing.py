@@ -32,12 +32,18 @@ LENGTH = 4096
 OPEN = 32
 MERGE = 256
 END_ID = 2
-CACHE = 200_000
+CACHE = 300_000
 
-#: What the fast path may hold: ASCII without control characters, and the Latin letters whose
-#: composed form and lower case are one character in every library.
-_OTHER = re.compile("[^\t-\r -~À-ÖØ-öø-įı-ſ]|<\\|")
-_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\t-\r a-zß-öø-ſ0-9]+")
+#: What a stretch of lower-cased text may not hold: anything but printable ASCII and the Latin
+#: letters whose composed form and lower case are one character in every library.
+_OTHER = re.compile("[^!-~ß-öø-įı-ſ]|<\\|")
+#: White space that only some libraries take for such.
+_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-zß-öø-ſ0-9]+")
+
+
+class _Odd(Exception):
+    """A stretch of text that only the library itself may cut."""
 
 
 class WordTokenizer(dict):
@@ -50,25 +56,42 @@ class WordTokenizer(dict):
 
         super().__init__()
         self.full = Tokenizer.from_file(path)
-        self.model = self.full.model
+        self.cut = self.full.model.tokenize
         self.kind = "H" if max(self.full.get_vocab().values()) < 1 << 16 else "I"
         self.older: dict[str, bytes] = {}
+        self.tails = {c: array(self.kind, [t.id for t in self.cut(c)]).tobytes() for c in ".,;:!?)"}
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.older.pop(chunk, None)
         if ids is None:
-            cut = self.model.tokenize
-            ids = array(self.kind, [t.id for w in _PIECE.findall(chunk) for t in cut(w if w.isascii() else _byte_level(w))]).tobytes()
+            ids = self._cut(chunk)
         self[chunk] = ids
         return ids
 
+    def _cut(self, chunk: str) -> bytes:
+        # One word, or one word and a sign after it, are the usual cases.
+        if chunk.isalpha():
+            if chunk.isascii():
+                return array(self.kind, [t.id for t in self.cut(chunk)]).tobytes()
+            if not _OTHER.search(chunk):
+                return array(self.kind, [t.id for t in self.cut(_byte_level(chunk))]).tobytes()
+        elif chunk[-1] in self.tails and chunk[:-1].isalpha():
+            return self[chunk[:-1]] + self.tails[chunk[-1]]
+        if _OTHER.search(chunk):
+            raise _Odd
+        return array(self.kind, [t.id for w in _PIECE.findall(chunk) for t in self.cut(_byte_level(w))]).tobytes()
+
     def ids(self, text: str) -> np.ndarray:
-        if _OTHER.search(text):
-            return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
         if len(self) > CACHE:
             self.older = dict(self)
             self.clear()
-        return np.frombuffer(b"".join(map(self.__getitem__, text.lower().split())), self.kind).astype(np.uint32)
+        odd = _SPACE.search(text) if not text.isascii() else any(c in text for c in "\x1c\x1d\x1e\x1f")
+        if not odd:
+            try:
+                return np.frombuffer(b"".join(map(self.__getitem__, text.lower().split())), self.kind).astype(np.uint32)
+            except _Odd:
+                pass
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def _byte_level(word: str) -> str:
