@@ -1,14 +1,14 @@
 """Near duplicates by 64-bit SimHash fingerprints and deletion-variant signatures.
 
 A fingerprint holds bit b when more than half of the XXH64 values (seed 42) of the document's
-3-word shingles have it. Two fingerprints that differ in at most three bits have a 32-bit half
-that differs in at most one. So each half is indexed once as it is and 32 times with one bit
-wiped out, and an equality match of these signatures meets every link. Each match is verified
-by counting bits.
+3-word shingles have it. It is cut into so few segments that, of two fingerprints within
+``max_bits`` bits, one segment differs in at most one: two segments for three bits, three for
+five. Each segment is indexed once as it is and once with each of its bits wiped out, and an
+equality match of these signatures meets every link. Each match is verified by counting bits.
 
 Signatures are dealt out by hash and sorted, so a bucket arrives as a run of rows. A bucket
 adds a spanning forest of its links and never its pairs. Buckets of over ``BUCKET`` different
-fingerprints are dealt again by signatures of the other half, cut in two in the same way.
+fingerprints are dealt again by signatures of the other bits, cut in the same way.
 
 Null and empty texts and texts of white space have the fingerprint zero and are linked like
 any other. Repeated rows keep one output row each. Rows whose id is null get the component of
@@ -133,8 +133,25 @@ def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[np.nd
         yield held
 
 
-def _search(level: int, n_keys: int, most: int, limit: int):
-    """The task that turns sorted signatures into links and into rows of overfull buckets."""
+def segments(n_bits: int, max_bits: int) -> list[tuple[int, int]]:
+    """(offset, width) of the segments that ``n_bits`` bits are cut into, the widest first."""
+    parts = -(-(max_bits + 1) // 2)
+    widths = [n_bits // parts + (k < n_bits % parts) for k in range(parts)]
+    return [(sum(widths[:k]), w) for k, w in enumerate(widths)]
+
+
+def _search(first: list[tuple[int, int]], second: list[tuple[int, int]] | None, most: int, limit: int):
+    """The task that turns sorted signatures into links and into rows of overfull buckets.
+
+    ``first``: segments of the signature in column 0; ``second``: those of column 1, which cut the
+    bits above and then below the first's segment.
+    """
+    n_keys = 1 if second is None else 2
+
+    def wiped(key: np.ndarray, cut: list[tuple[int, int]]) -> np.ndarray:
+        """The place of the bit that a signature leaves out, or -1 where it is plain."""
+        segment, mark = (key >> 38) & 7, (key >> 32) & 63
+        return np.where(mark == np.array([w for _, w in cut])[segment], -1, np.array([o for o, _ in cut])[segment] + mark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in _runs(batches, n_keys):
@@ -146,13 +163,11 @@ def _search(level: int, n_keys: int, most: int, limit: int):
             bucket = np.cumsum(new) - 1
             size = np.bincount(bucket)[bucket]
             some = (size > 1) & (size <= limit)
-            # The plain signature of a half has the number 32 (16 at the second level).
-            mark = (keys[-1] >> 32) & 63
-            half = (keys[-1] >> 38) & 3
-            width = 32 if level == 1 else 16
-            wild = np.where(mark == width, -1, mark + half * width)
-            if level == 2:
-                wild = np.where(wild >= 0, wild + np.where(((keys[0] >> 38) & 3) == 0, 32, 0), -1)
+            if second is None:
+                wild = wiped(keys[0], first)
+            else:
+                wild, end = wiped(keys[1], second), np.array([o + w for o, w in first])[(keys[0] >> 38) & 7]
+                wild = np.where(wild >= 0, (wild + end) % 64, -1)
             a, b = _forest(bucket[some], wild[some], fp[some], most)
             over = size > limit
             yield pa.RecordBatch.from_arrays(
@@ -167,33 +182,47 @@ def _search(level: int, n_keys: int, most: int, limit: int):
     return run
 
 
-def _signature(value, half: int, offset: str, width: int):
-    """The signature numbered ``offset`` of a half: that bit wiped out, or all of it at ``width``."""
-    wiped = f"CASE WHEN {offset} < {width} THEN ({value}) & ~shiftleft(1L, {offset}) ELSE ({value}) END"
-    return f"(shiftleft({half}L, 38) | shiftleft(CAST({offset} AS BIGINT), 32) | ({wiped}))"
+def _signatures(value: str, cut: list[tuple[int, int]]) -> tuple[str, int]:
+    """SQL for the n-th signature of a value of bits, and how many there are: for each segment one
+    for each bit that is wiped out, and the plain one."""
+    cases, n = [], 0
+    for k, (offset, width) in enumerate(cut):
+        part = f"(shiftrightunsigned({value}, {offset}) & {(1 << width) - 1}L)"
+        mark = f"CAST(n - {n} AS BIGINT)"
+        wiped = f"CASE WHEN n - {n} < {width} THEN {part} & ~shiftleft(1L, CAST(n - {n} AS INT)) ELSE {part} END"
+        cases.append(f"WHEN n < {n + width + 1} THEN shiftleft({k}L, 38) | shiftleft({mark}, 32) | {wiped}")
+        n += width + 1
+    return f"CASE {' '.join(cases)} END", n
 
 
 def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> DataFrame:
     """(a, b) links that connect all fingerprints within ``max_bits``; ``distinct_fps``: column fp."""
-    if not 0 <= max_bits <= 3:
-        raise ValueError("two halves hold three differing bits at most")
-    low, high = "fp & 4294967295L", "shiftrightunsigned(fp, 32)"
-    keyed = distinct_fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(65))).alias("n")).select(
-        F.expr(f"CASE WHEN n < 33 THEN {_signature(low, 0, 'n', 32)} ELSE {_signature(high, 1, '(n - 33)', 32)} END").alias("key"), "fp"
-    )
-    found = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(arrow_task(_search(1, 1, max_bits, bucket)), "key long, a long, b long")
+    if not 0 <= max_bits <= 5:
+        raise ValueError("over five bits need segments too narrow to tell fingerprints apart")
+    first = segments(64, max_bits)
+    if len(first) == 1:
+        first = [(0, 32), (32, 32)]
+    signature, n = _signatures("fp", first)
+    keyed = distinct_fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("n")).select(F.expr(signature).alias("key"), "fp")
+    task = arrow_task(_search(first, None, max_bits, bucket))
+    found = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(task, "key long, a long, b long")
     found = materialise(found, "simhash-buckets")
     over = found.where("key >= 0")
-    first = found.where("key < 0").select("a", "b")
+    linked = found.where("key < 0").select("a", "b")
     if over.isEmpty():
-        return first
-    other = "CASE WHEN (shiftright(key, 38) & 3) = 0 THEN shiftrightunsigned(a, 32) ELSE a & 4294967295L END"
-    wide = over.select("key", F.col("a").alias("fp"), F.expr(other).alias("o"), F.explode(F.sequence(F.lit(0), F.lit(33))).alias("n"))
-    low, high = "o & 65535L", "shiftrightunsigned(o, 16)"
-    deeper = wide.select("key", F.expr(f"CASE WHEN n < 17 THEN {_signature(low, 0, 'n', 16)} ELSE {_signature(high, 1, '(n - 17)', 16)} END").alias("sub"), "fp")
-    # The wiped bit of the first signature need not differ here: more links hold than are needed, none is wrong.
-    second = deeper.repartition("key", "sub").sortWithinPartitions("key", "sub", "fp").mapInArrow(arrow_task(_search(2, 2, max_bits, 1 << 62)), "key long, a long, b long")
-    return first.unionByName(second.select("a", "b"))
+        return linked
+    # The bits beside an overfull bucket's segment, those above it first.
+    rest = 64 - max(w for _, w in first)
+    second = segments(rest, max_bits)
+    turn = " ".join(f"WHEN {k} THEN {(o + w) % 64}" for k, (o, w) in enumerate(first))
+    turned = over.withColumn("t", F.expr(f"CASE (shiftright(key, 38) & 7) {turn} END"))
+    others = turned.select("key", F.col("a").alias("fp"), F.expr(f"(shiftrightunsigned(a, t) | shiftleft(a, 64 - t)) & {(1 << rest) - 1}L").alias("o"))
+    signature, n = _signatures("o", second)
+    deeper = others.select("key", "fp", "o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("n")).select("key", F.expr(signature).alias("sub"), "fp")
+    # A first signature's wiped bit need not differ here: more links hold than are needed, none is wrong.
+    task = arrow_task(_search(first, second, max_bits, 1 << 62))
+    inner = deeper.repartition("key", "sub").sortWithinPartitions("key", "sub", "fp").mapInArrow(task, "key long, a long, b long")
+    return linked.unionByName(inner.select("a", "b"))
 
 
 def components(edges: DataFrame, what: str = "simhash") -> DataFrame:
@@ -241,7 +270,8 @@ def keep_one_each(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS) -
     own = docs.toDF(*names)
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows")).select(F.col("doc_id").alias("keep_id"), "n_rows")
     kept = materialise(kept, "simhash-kept")
-    joined = own.join(kept, own[at] == kept.keep_id)
+    # Merged at every size: texts move once, whether or not the list of kept ids is small.
+    joined = own.join(kept.hint("merge"), own[at] == kept.keep_id)
     once = joined.where("n_rows = 1").select(*names)
     again = joined.where("n_rows > 1").select(*names).dropDuplicates([at])
     return once.unionByName(again).unionByName(own.where(F.col(at).isNull())).toDF(*docs.columns)

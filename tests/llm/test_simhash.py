@@ -55,8 +55,12 @@ def test_documents(spark, small):
         assert got[r.doc_id].fingerprint == f"{plain(r.text):016x}" and got[r.doc_id].component_id == rows[k].doc_id
 
 
-@pytest.mark.parametrize("bucket", [512, 4])
-def test_links(spark, bucket):
+def test_segments():
+    assert simhash.segments(64, 3) == [(0, 32), (32, 32)] and simhash.segments(64, 5) == [(0, 22), (22, 21), (43, 21)]
+
+
+@pytest.mark.parametrize(("bucket", "most"), [(512, 3), (4, 3), (512, 5), (4, 5), (4, 1)])
+def test_links(spark, bucket, most):
     rng = random.Random(5)
     fps = set()
     for _ in range(60):
@@ -71,10 +75,10 @@ def test_links(spark, bucket):
     fps |= {0, (1 << 64) - 1, 1 << 63, 7 << 61, 1 << 32, 1 << 31}
     fps = sorted(fps)
     df = spark.createDataFrame([(int(np.array(x, np.uint64).view(np.int64)),) for x in fps], "fp long").repartition(3)
-    edges = simhash.links(df, bucket=bucket)
+    edges = simhash.links(df, most, bucket)
     signed = [int(np.array(x, np.uint64).view(np.int64)) for x in fps]
     found = {r.node: r.label for r in simhash.components(edges).collect()}
-    want = groups(fps)
+    want = groups(fps, most)
     names: dict = {}
     for s, k in zip(signed, want):
         names.setdefault(int(k), set()).add(found.get(s, s))
