@@ -228,23 +228,32 @@ def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKE
 def components(edges: DataFrame, what: str = "simhash") -> DataFrame:
     """(node, label): the smallest node that each node of ``edges`` (a, b) can reach.
 
-    Smallest labels pass along links, then labels point to their own labels, so a chain of n
-    links takes about log n rounds. Each round is written to the shared folder.
+    In a round each node points to its smallest neighbour, or to itself where that is larger, and
+    pointers are followed to their ends. Then each tree is one node, and the links left between
+    trees make the next, smaller round: it has half of the nodes at most. Each step is written to
+    the shared folder.
     """
-    both = edges.where("a <> b").selectExpr("a", "b").union(edges.where("a <> b").selectExpr("b", "a")).distinct()
-    both = materialise(both, f"{what}-edges")
-    labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a AS node", "least(a, m) AS label"), f"{what}-labels")
-    while True:
-        passed = both.join(labels.selectExpr("node AS b", "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        nearer = labels.join(materialise(passed, f"{what}-passed"), labels.node == F.col("a")).selectExpr("node", "least(label, m) AS label")
-        nearer = materialise(nearer, f"{what}-nearer")
-        target = nearer.selectExpr("node AS t", "label AS up")
-        jumped = materialise(nearer.join(target, nearer.label == F.col("t")).selectExpr("node", "least(label, up) AS label"), f"{what}-labels")
-        changed = not jumped.join(labels.selectExpr("node", "label AS was"), "node").where("label <> was").isEmpty()
-        drop_table(nearer)
-        labels = jumped
-        if not changed:
-            return labels
+    pair = ["greatest(a, b) AS a", "least(a, b) AS b"]
+    rest = materialise(edges.where("a <> b").selectExpr(*pair).distinct(), f"{what}-edges")
+    labels = None
+    while not rest.isEmpty():
+        both = rest.selectExpr("a AS node", "b AS other").union(rest.selectExpr("b AS node", "a AS other"))
+        up = materialise(both.groupBy("node").agg(F.min("other").alias("m")).selectExpr("node", "least(node, m) AS label"), f"{what}-up")
+        while True:
+            further = up.join(up.selectExpr("node AS label", "label AS end"), "label").selectExpr("node", "end AS label", "end <> label AS moved")
+            further = materialise(further, f"{what}-up")
+            drop_table(up)
+            up = further.select("node", "label")
+            if further.where("moved").isEmpty():
+                break
+        left = rest.join(up.selectExpr("node AS a", "label AS x"), "a").join(up.selectExpr("node AS b", "label AS y"), "b")
+        rest = materialise(left.where("x <> y").selectExpr("greatest(x, y) AS a", "least(x, y) AS b").distinct(), f"{what}-edges")
+        if labels is None:
+            labels = up
+        else:
+            later = up.selectExpr("node AS label", "label AS end")
+            labels = materialise(labels.join(later, "label", "left").selectExpr("node", "coalesce(end, label) AS label"), f"{what}-labels")
+    return rest.selectExpr("a AS node", "b AS label") if labels is None else labels
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
