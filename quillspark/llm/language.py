@@ -37,7 +37,7 @@ ABSENT = 7.0
 UNKNOWN = "und"
 #: Words from which on more words no longer raise the score, and its steepness.
 CERTAIN_WORDS, STEEPNESS = 24, 1.0
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 48 << 20
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -54,6 +54,7 @@ class Model:
 
     def __init__(self, langs: list[str], words: dict[str, list[float]], grams: list[dict[str, list[float]]]):
         self.langs, self.words, self.grams = langs, words, grams
+        self.none = [ABSENT] * len(langs)
 
     def cost(self, word: str) -> list[float]:
         known = self.words.get(word)
@@ -64,9 +65,9 @@ class Model:
             table = self.grams[n]
             found = [table.get(padded[i : i + n]) for i in range(len(padded) - n + 1)]
             if any(f is not None for f in found):
-                rows = [f if f is not None else [ABSENT] * len(self.langs) for f in found]
-                return np.mean(rows, axis=0).tolist()
-        return [ABSENT] * len(self.langs)
+                rows = [f if f is not None else self.none for f in found]
+                return [sum(costs) / len(rows) for costs in zip(*rows)]
+        return self.none
 
 
 class Scorer:
