@@ -164,6 +164,16 @@ def test_boilerplate_without_markup():
     assert html.main_texts(pages) == [f"own words of page {i} {i * 7} that no other has at all" for i in range(4)]
 
 
+def test_boilerplate_beside_and_inside_main():
+    notice = "<p>subscribe to this host and never miss one of its many stories</p>"
+    menu = "<div>this block of words is on every page of the host and says nothing</div>"
+    pages = [f"{menu}<article><p>short {i}</p>{notice}</article><div>a long unmarked story {i} {i * 7} that no other page of it has</div>" for i in range(4)]
+    assert html.main_texts(pages) == [f"short {i}\na long unmarked story {i} {i * 7} that no other page of it has" for i in range(4)]
+    # An article that other pages repeat as a whole stays.
+    article = "the very same article stands here under several addresses of one host"
+    assert html.main_texts([f"<div>{i}</div><article>{article}</article>" for i in range(4)]) == [f"{i}\n{article}" for i in range(4)]
+
+
 def test_extract(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     got = {r.page_id: r for r in html.extract(pages).collect()}
