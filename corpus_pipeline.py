@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import fmindex, language, packing, pseudonyms, simhash
+from quillspark.llm import fmindex, language, packing, pseudonyms, shingles
 from quillspark.llm.common import checkpoint_dir, read_table
 from quillspark.llm.queries import KEY, vocabulary
 
@@ -19,12 +19,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints link.
-
-    Over the operator's three-word shingles and at five bits: that finds most pairs with a five-word
-    similarity of 0.8 or more; five-word shingles or three bits find fewer (see the README).
-    """
-    return simhash.keep_one_each(docs, max_bits=5)
+    """One document of each group linked by a five-word shingle similarity of 0.8 or more."""
+    return shingles.keep_one_each(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
