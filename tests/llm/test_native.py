@@ -30,6 +30,23 @@ def test_licences(spark):
     assert licences.scan(df.limit(0)).collect() == []
 
 
+WRAPPED = [
+    ("Redistribution and use in source and binary\nforms are permitted:\n1. Redistributions of source code must\nretain it.\n2. Redistributions in binary form must\nreproduce it.\n3. Neither the name of the copyright holder nor the names of its\n contributors may be used to endorse it.", "BSD-3-Clause"),
+    ("# under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# any later version.", "GPL-3.0"),
+    ("GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of it", "LGPL-2.1"),
+    ("the terms of the Mozilla Public License, v. 2.0.", "MPL-2.0"),
+    ("under the\nMIT License\nAll rights reserved", "All-rights-reserved,MIT"),
+    ("under the GNU General\n\nPublic License, version 3", ""),
+    ("Licensed under CC BY 4.0. 2020 All rights reserved.", "All-rights-reserved,CC-BY"),
+]
+
+
+def test_wrapped_licences(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(WRAPPED)], "doc_id int, text string")
+    rows = {r.doc_id: r.licences for r in licences.scan(df).collect()}
+    assert [rows[i] for i in range(len(WRAPPED))] == [w for _, w in WRAPPED]
+
+
 def test_licence_sql(spark, small):
     import duckdb
 
