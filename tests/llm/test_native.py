@@ -76,10 +76,30 @@ def test_audit_of_odd_rows(spark):
     assert merkle.audit(df, df).collect() == []
     assert {r.status for r in merkle.audit(df, df.limit(0)).collect()} == {"missing"}
     assert merkle.audit(df.limit(0), df.limit(0)).collect() == []
+    assert merkle.roots(df, df.limit(0))[1] == merkle.roots(df.limit(0), df)[0] == ""
     # A copy less is a difference.
     assert [tuple(r)[:2] for r in merkle.audit(df, df.dropDuplicates()).collect()] == [(1, "corrupt")]
 
 
+def test_audit_of_ids_far_apart_and_without_ids(spark):
+    rows = [(k * 3**k - 10**6, f"u{k}", f"page {k}") for k in range(30)] + [(None, "u", f"nameless {k}") for k in range(20)]
+    rows += [(7, "u", f"content {k}") for k in range(50)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert merkle.audit(df, df.repartition(5)).collect() == []
+    other = [(i, u, h + "!" if h in ("page 7", "nameless 3", "content 9") else h) for i, u, h in rows if h != "page 4"]
+    got = sorted((str(r.page_id), r.status) for r in merkle.audit(df, spark.createDataFrame(other, df.schema)).collect())
+    assert got == sorted([(str(7 * 3**7 - 10**6), "corrupt"), (str(4 * 3**4 - 10**6), "missing"), ("7", "corrupt"), ("None", "missing"), ("None", "extra")])
+
+
+def test_a_damaged_record_is_found_in_its_range_alone(spark):
+    rows = [(i, f"u{i}", "x" * 3000) for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    trees = merkle._Trees(df, df.withColumn("html", F.when(F.col("page_id") == 150, "y").otherwise(F.col("html"))))
+    assert trees.root(0) != trees.root(1)
+    ranges = trees.ranges.groupBy("range").agg(F.count_distinct("hash").alias("n")).where("n > 1").collect()
+    assert len(ranges) == 1 and trees.ranges.select("range").distinct().count() > 5
+
+
 def test_places(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     place = 0
