@@ -188,11 +188,58 @@ def test_page_text():
     assert html.main_texts(["<main><header><h1>T</h1><p>menu</p></header><p>x</p></main>"]) == ["T\nx"]
 
 
-def test_repeated_runs():
-    streams = [f"start{i} this run of eight tokens stands on all end{i}".split() for i in range(3)]
-    cover = html.repeated(streams)
-    assert all(c.tolist() == [False] + [True] * 8 + [False] * (len(s) - 9) for c, s in zip(cover, streams))
-    assert not any(c.any() for c in html.repeated(streams[:2]))
+def test_compared_substrings():
+    pages = [html.blocks_of(f"<div>start{i} this run of eight tokens stands on all end{i}</div>") for i in range(3)]
+    rows = html._compared(["h"] * 3, pages)
+    names = [{name for _, _, name in some} for some in rows]
+    assert names[0] != names[1] and len(names[0] & names[1] & names[2]) == 1
+    # The host is part of a name, and blocks that markup decides on alone have none.
+    assert not names[0] & {name for _, _, name in html._compared(["other"], pages[:1])[0]}
+    assert html._compared(["h"], [html.blocks_of("<nav>one two three four five six seven eight nine</nav>")]) == [[]]
+
+
+SHARED = "this block of words is on every page of the host and says nothing"
+
+
+def test_names_inside_an_article():
+    page = '<article><div class="entry-header"><h1>Title</h1></div><p class="legal-history">Law</p><section id="form-of-verse">Verse</section><div class="ad-banner">Buy</div></article>'
+    assert html.main_texts([page]) == ["Title\nLaw\nVerse"]
+    doubted = [f'<article><p>story {i}</p><div class="form-of-verse">{SHARED}</div></article>' for i in range(3)]
+    assert html.main_texts(doubted) == [f"story {i}" for i in range(3)]
+    assert html.main_texts(doubted[:2]) == [f"story {i}\n{SHARED}" for i in range(2)]
+    # A short article does not lose the unmarked rest of its page.
+    assert html.main_texts(["<article>a</article><div class=footer-note>x</div><div>the rest of it</div>"]) == ["a\nthe rest of it"]
+
+
+def test_copies_of_a_page_are_one_page():
+    page = f"<div>{SHARED}</div>"
+    assert html.main_texts([page] * 5) == [SHARED] * 5
+
+
+def test_the_arrays_decide_over_the_whole_host(spark):
+    rows = [(i, f"http://h/{i}", f"<div>{SHARED}</div><div>own words of page {i} {i * 7} that no other has at all</div>") for i in range(60)]
+    rows += [(100 + i, f"http://other/{i}", f"<div>{SHARED}</div><p>{i}</p>") for i in range(2)]
+    # A notice on few pages that lie far apart.
+    notice = "please note that the office of this host is closed today"
+    rows += [(200 + i, f"http://h/x{i}", f"<main><p>{notice}</p><p>news number {i}</p></main>") for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"own words of page {i} {i * 7} that no other has at all" for i in range(60)} | {100 + i: f"{SHARED}\n{i}" for i in range(2)} | {200 + i: f"news number {i}" for i in range(3)}
+    for parts, run in ((1, 1 << 20), (7, 1), (3, 100)):
+        assert {r.page_id: r.text for r in html.extract(df.repartition(parts), run_tokens=run).collect()} == want
+    without = {r.page_id: r.text for r in html.extract(df, least=1 << 30).collect()}
+    assert all(without[i] != want[i] for i in (*range(60), *range(200, 203)))
+
+
+def test_hosts_against_main_texts(spark):
+    import random
+
+    rng = random.Random(5)
+    parts = [" ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(9)) for _ in range(rng.randrange(2, 30))) for _ in range(12)]
+    pages = ["".join(rng.choice(["<div>{}</div>", "<article><p>{}</p></article>", "<p>{}</p>", '<div class="legal-notes">{}</div>']).format(rng.choice(parts) if rng.random() < 0.5 else f"own {k} {rng.random()} words") for _ in range(5)) for k in range(40)]
+    df = spark.createDataFrame([(k, f"http://h{k % 2}/", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df, run_tokens=50).collect()}
+    for h in (0, 1):
+        assert [got[k] for k in range(h, 40, 2)] == html.main_texts(pages[h::2])
 
 
 def test_boilerplate_without_markup():
