@@ -211,6 +211,12 @@ def test_names_inside_an_article():
     assert html.main_texts(["<article>a</article><div class=footer-note>x</div><div>the rest of it</div>"]) == ["a\nthe rest of it"]
 
 
+def test_near_copies_of_an_article_stay_whole():
+    part = [f"paragraph {k} of the article that stands on many pages under several names" for k in range(4)]
+    pages = ["<article>" + "".join(f"<p>{p}{' changed' * (k == i)}</p>" for k, p in enumerate(part)) + "</article>" for i in range(5)]
+    assert html.main_texts(pages) == ["\n".join(p + " changed" * (k == i) for k, p in enumerate(part)) for i in range(5)]
+
+
 def test_copies_of_a_page_are_one_page():
     page = f"<div>{SHARED}</div>"
     assert html.main_texts([page] * 5) == [SHARED] * 5
@@ -221,9 +227,9 @@ def test_the_arrays_decide_over_the_whole_host(spark):
     rows += [(100 + i, f"http://other/{i}", f"<div>{SHARED}</div><p>{i}</p>") for i in range(2)]
     # A notice on few pages that lie far apart.
     notice = "please note that the office of this host is closed today"
-    rows += [(200 + i, f"http://h/x{i}", f"<main><p>{notice}</p><p>news number {i}</p></main>") for i in range(3)]
+    rows += [(200 + i, f"http://h/x{i}", f"<main><p>{notice}</p><p>news number {i} of a day on which much was said by many</p></main>") for i in range(3)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    want = {i: f"own words of page {i} {i * 7} that no other has at all" for i in range(60)} | {100 + i: f"{SHARED}\n{i}" for i in range(2)} | {200 + i: f"news number {i}" for i in range(3)}
+    want = {i: f"own words of page {i} {i * 7} that no other has at all" for i in range(60)} | {100 + i: f"{SHARED}\n{i}" for i in range(2)} | {200 + i: f"news number {i} of a day on which much was said by many" for i in range(3)}
     for parts, run in ((1, 1 << 20), (7, 1), (3, 100)):
         assert {r.page_id: r.text for r in html.extract(df.repartition(parts), run_tokens=run).collect()} == want
     without = {r.page_id: r.text for r in html.extract(df, least=1 << 30).collect()}
@@ -250,9 +256,10 @@ def test_boilerplate_without_markup():
 
 def test_boilerplate_beside_and_inside_main():
     notice = "<p>subscribe to this host and never miss one of its many stories</p>"
+    own = "what happened on that day in the town where nobody had ever seen it before was news"
     menu = "<div>this block of words is on every page of the host and says nothing</div>"
-    pages = [f"{menu}<article><p>short {i}</p>{notice}</article><div>a long unmarked story {i} {i * 7} that no other page of it has</div>" for i in range(4)]
-    assert html.main_texts(pages) == [f"short {i}\na long unmarked story {i} {i * 7} that no other page of it has" for i in range(4)]
+    pages = [f"{menu}<article><p>short {i}</p><p>{own} {i}</p>{notice}</article><div>a long unmarked story {i} {i * 7} that no other page of it has</div>" for i in range(4)]
+    assert html.main_texts(pages) == [f"short {i}\n{own} {i}\na long unmarked story {i} {i * 7} that no other page of it has" for i in range(4)]
     # An article that other pages repeat as a whole stays.
     article = "the very same article stands here under several addresses of one host"
     assert html.main_texts([f"<div>{i}</div><article>{article}</article>" for i in range(4)]) == [f"{i}\n{article}" for i in range(4)]
