@@ -11,9 +11,10 @@ Words that no item has become one separator before indexing, and stretches betwe
 that are shorter than the shortest phrase are left out: no phrase can lie in them, so the
 result is the same and the index is small.
 
-Items are sent to executors in blocks of at most ``BLOCK_WORDS`` words, so their size has a
-bound. With one block each document's row is final in its task; with more, spans of the blocks
-are merged by document.
+Items are sent to executors in blocks of about ``BLOCK_WORDS`` words, one at a time, so their size
+has a bound on the driver too; the documents are read once a block. With one block each row is final
+in its task; with more, the spans of the later blocks are written for rows with hits, and merged by
+a key made of the whole row, so the result is that of one block.
 
 Null and empty texts have no words and no hits. Null items and items without words have no
 phrase. Items that repeat an id count once; an item whose id is null marks words but is not
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_task, bound_batches, pick
+from quillspark.llm.common import arrow_task, bound_batches, materialise, pick
 from quillspark.llm.suffixes import suffix_array
 
 WINDOW = 10
@@ -212,7 +213,8 @@ def _blocks(items: DataFrame, block_words: int) -> list[DataFrame]:
     """The items, cut by hash where they have more words than one block may hold."""
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-size // (2 * block_words)) or 1
-    return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) for k in range(n)]
+    # By id and text, so that an item whose text many others have does not bring them all.
+    return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
 def _spans(docs: DataFrame, phrases: Phrases, shard_words: int, carry: list[str]) -> DataFrame:
@@ -259,26 +261,25 @@ def _spans(docs: DataFrame, phrases: Phrases, shard_words: int, carry: list[str]
 def _spans_of_all(docs: DataFrame, items: DataFrame, carry: list[str], window: int, shard_words: int, block_words: int) -> DataFrame:
     items = pick(items, "item_id", "text").where(F.col("text").isNotNull())
     blocks = _blocks(items, block_words)
-    parts = [_spans(docs, Phrases([tuple(r) for r in b.collect()], window), shard_words, carry) for b in blocks]
-    if len(parts) == 1:
-        return parts[0]
-    parts = [p.withColumn("__block", F.lit(k)) for k, p in enumerate(parts)]
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
-    # Repeated rows of a document meet here; each block has all of them, so block 0 counts them.
-    return (
-        merged.groupBy(*carry)
-        .agg(
-            F.max("n_words").alias("n_words"),
-            F.flatten(F.collect_list("starts")).alias("starts"),
-            F.flatten(F.collect_list("ends")).alias("ends"),
-            F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-            F.count_if(F.col("__block") == 0).alias("__copies"),
-        )
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-        .drop("__copies", "__copy")
-    )
+    if len(blocks) == 1:
+        return _spans(docs, Phrases([tuple(r) for r in blocks[0].collect()], window), shard_words, carry)
+    # Rows alike in what is carried and in the text have the same hits; others never share a key.
+    row = F.struct(F.xxhash64(*carry, "text"), F.hash("text", *carry), F.length("text"))
+    keyed = docs.withColumn("__row", row)
+    first, others = None, []
+    for block in blocks:
+        found = _spans(keyed, Phrases([tuple(r) for r in block.collect()], window), shard_words, ["__row", *carry] if first is None else ["__row"])
+        if first is None:
+            first = materialise(found, "leaks-first")
+        else:
+            others.append(materialise(found.where("size(starts) > 0").dropDuplicates(["__row"]), "leaks-block"))
+    more = others[0]
+    for table in others[1:]:
+        more = more.unionByName(table)
+    more = more.groupBy("__row").agg(*[F.flatten(F.collect_list(c)).alias(f"__{c}") for c in ("starts", "ends", "items")])
+    joined = first.join(more, "__row", "left")
+    whole = lambda c, kind: F.concat(c, F.coalesce(f"__{c}", F.array().cast(f"array<{kind}>")))
+    return joined.select(*carry, "n_words", whole("starts", "long").alias("starts"), whole("ends", "long").alias("ends"), F.array_distinct(whole("items", "string")).alias("items"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
