@@ -1,6 +1,7 @@
 """Decontamination, vector search and packing against brute force."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -59,6 +60,17 @@ def test_decontaminate(spark, shard, block):
     assert got.count() == len(TEXTS)
 
 
+@pytest.mark.parametrize("block", [4_000_000, 5])
+def test_rows_that_share_an_id(spark, block):
+    texts = [(5, TEXTS[0]), (5, "nothing of it"), (None, TEXTS[1]), (None, "clean words"), (5, TEXTS[0]), (5, None)]
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    items = spark.createDataFrame(ITEMS, "item_id int, text string")
+    got = sorted(tuple(r)[1:] for r in fmindex.decontaminate(docs, items, block_words=block).collect())
+    assert got == sorted(plain_hits(t, ITEMS) for _, t in texts)
+    cut = sorted(str(r.text) for r in fmindex.cut_spans(docs, items, block_words=block).collect())
+    assert cut == sorted(["x y", "x y", "nothing of it", "", "clean words", "None"])
+
+
 def test_decontaminate_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     items = spark.read.parquet(f"{small}/benchmark.parquet")
@@ -92,12 +104,12 @@ def test_cut_spans(spark, odd_docs):
 def plain_top(rows, k=5, every=50):
     v = {}
     for i, e in rows:
-        if i is not None and e and all(x is not None and np.isfinite(x) for x in e):
-            v[i] = np.floor(256 * np.array(e, np.float64)).astype(int)
+        if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e):
+            v[i] = np.array([math.floor(256 * x) for x in e], object)
     out = []
     for q in (i for i in v if i % every == 0):
-        best = sorted((-int(v[q] @ v[c]), c) for c in v if c != q and len(v[c]) == len(v[q]))[:k]
-        out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(best)]
+        best = sorted((-int(sum(v[q] * v[c])), c) for c in v if c != q and len(v[c]) == len(v[q]))[:k]
+        out += [(q, n + 1, c, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, c) in enumerate(best)]
     return sorted(out)
 
 
@@ -107,18 +119,26 @@ def test_vectors(spark, small):
     assert got == plain_top([(r.vec_id, r.embedding) for r in df.collect()])
 
 
-@pytest.mark.parametrize(("group", "block", "cells"), [(4096, 512, 64), (16, 2, 64), (16, 2, 2)])
-def test_odd_vectors(spark, group, block, cells):
+@pytest.mark.parametrize(("block", "cells"), [(2048, 256), (2, 64), (3, 2)])
+def test_odd_vectors(spark, block, cells):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 4]) for i in range(120)]
     rows += [(i, [0.5] * 6) for i in range(200, 260)]  # ties
-    rows += [(300, None), (350, []), (None, [0.1] * 6), (400, [None] * 6), (450, [float("nan")] * 6), (500, [float("inf")] * 6), (550, [0.1, 0.2]), (551, [0.3, 0.2])]
+    rows += [(300, None), (350, []), (360, []), (None, [0.1] * 6), (400, [None] * 6), (450, [float("nan")] * 6), (500, [float("inf")] * 6), (550, [0.1, 0.2]), (551, [0.3, 0.2])]
     df = spark.createDataFrame(rows + [(200, [0.5] * 6)], "vec_id long, embedding array<double>").withColumn("key", F.lit(1)).withColumn("v", F.lit(1))
-    got = sorted(tuple(r) for r in vafile.search(df, F.col("vec_id") % 50 == 0, cells=cells, group=group, block=block).collect())
+    got = sorted(tuple(r) for r in vafile.search(df, F.col("vec_id") % 50 == 0, cells=cells, block=block).collect())
     assert got == plain_top(rows)
     assert vafile.search(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+@pytest.mark.parametrize("scale", [5000.0, 3e9, 1e13])
+def test_great_components(spark, scale):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=5) * (scale if i % 7 == 0 else 1)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in vafile.search(df, F.col("vec_id") % 10 == 0).collect()) == plain_top(rows, every=10)
+
+
 def test_tokenizer():
     t = packing.tokenizer(queries.vocabulary())
     for x in ["it's Ünïcode don't''s <|endoftext|> hi", "a\x1cb", "ΣΑΣ", "", "İx é", "'S'T 123 ½ ﬁ", "<|startoftext|", "x\x00y", "a  b\n\tc, d.e!?", "ŉ ſ ÿ Ÿ Ǆ", "é", "naïve co-op's 42nd"]:
