@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables written within ``scratch``, for each of its levels.
+_WRITTEN: list[list[DataFrame]] = []
+
+
+class NoSharedFolder(RuntimeError):
+    """A cluster that names no folder its machines share."""
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; an own folder only where none is set, as in tests."""
+    """The shared folder the cluster names; an own folder only where none is set and all runs on one
+    machine, as in tests."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise NoSharedFolder("set spark.checkpoint.dir to a folder that all machines share")
     own = tempfile.mkdtemp(prefix="quillspark-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -30,7 +42,21 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    if _WRITTEN:
+        _WRITTEN[-1].append(out)
+    return out
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that ``materialise`` writes within are removed at the end, when the result is written too."""
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        for table in _WRITTEN.pop():
+            drop_table(table)
 
 
 def drop_table(df: DataFrame) -> None:
@@ -38,4 +64,5 @@ def drop_table(df: DataFrame) -> None:
     spark = df.sparkSession
     for file in df.inputFiles()[:1]:
         folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        with contextlib.suppress(Exception):  # it may be gone already, and a leftover harms nothing
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
