@@ -171,9 +171,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, cells: int = CELLS,
     for more in parts[1:]:
         left = left.unionByName(more)
     order = Window.partitionBy("query").orderBy(F.desc("upper"), "key")
-    left = materialise(left.withColumn("place", F.row_number().over(order)), "vafile-candidates")
-    for table_ in (file, *parts):
-        drop_table(table_)
+    # Only the first of a query are put in order; a query may have very many near to it.
+    ahead = materialise(left.withColumn("place", F.row_number().over(order)).where(F.col("place") <= FIRST).select("query", "key"), "vafile-ahead")
+    drop_table(file)
     if max(abs(least), abs(most)) ** 2 * max(1, longest) < 1 << 62:
         dot = F.expr("aggregate(zip_with(v, q, (x, y) -> x * y), 0L, (s, x) -> s + x)")
     else:
@@ -182,10 +182,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, cells: int = CELLS,
     def exact(candidates: DataFrame) -> DataFrame:
         return candidates.join(distinct.select("key", "v"), "key").join(asked, "query").select("query", "key", dot.alias("score"))
 
-    first = materialise(exact(left.where(F.col("place") <= FIRST)), "vafile-first")
+    first = materialise(exact(ahead), "vafile-first")
     by_score = Window.partitionBy("query").orderBy(F.desc("score"), "key")
     kth = first.withColumn("nth", F.row_number().over(by_score)).where(F.col("nth") == k + 1).select("query", F.col("score").alias("kth"))
-    rest = left.where(F.col("place") > FIRST).join(kth, "query", "left").where("kth IS NULL OR upper >= kth")
+    rest = left.join(kth, "query").where("upper >= kth").join(ahead, ["query", "key"], "left_anti")
     scored = first.unionByName(exact(rest))
     scored = scored.withColumn("nth", F.rank().over(Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("nth") <= k + 1)
     # A key stands for its ids, all of one score; the k + 1 best ids hold the k best others of any query.
