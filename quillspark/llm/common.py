@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.sources.tables import checkpoint_dir, drop_table, materialise
 
-__all__ = ["arrow_task", "bound_batches", "checkpoint_dir", "drop_table", "held_out", "materialise", "pick", "read_table"]
+__all__ = ["arrow_task", "bound_batches", "checkpoint_dir", "drop_table", "held_out", "materialise", "pick", "place_of", "read_table"]
 
 
 #: Bytes of an Arrow batch on its way to and from Python.
@@ -57,14 +57,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def place_of(df: DataFrame, name: str) -> int:
+    """The place of a column, found by exact spelling, then by spelling without case."""
+    exact = [i for i, c in enumerate(df.columns) if c == name]
+    loose = [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if not (exact or loose):
+        raise ValueError(f"column {name} is missing; there are {df.columns}")
+    return (exact or loose)[0]
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns alone, found by exact spelling, then by spelling without case."""
+    """The named columns alone, each found as by ``place_of``."""
     own = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    at = []
-    for name in names:
-        exact = [i for i, c in enumerate(df.columns) if c == name]
-        loose = [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
-        if not (exact or loose):
-            raise ValueError(f"column {name} is missing; there are {df.columns}")
-        at.append((exact or loose)[0])
-    return own.select(*[F.col(f"c{i}").alias(n) for i, n in zip(at, names)])
+    return own.select(*[F.col(f"c{place_of(df, n)}").alias(n) for n in names])
