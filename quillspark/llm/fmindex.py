@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_task, bound_batches, materialise, pick
+from quillspark.llm.common import arrow_task, bound_batches, materialise, pick, place_of
 from quillspark.llm.suffixes import suffix_array
 
 WINDOW = 10
@@ -307,13 +307,15 @@ def cut_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_wor
     """``docs`` with every merged span of test phrases taken out of the text; same columns and rows.
 
     A text without hits stays as it is, to the byte. What stands around a span is joined by one
-    space. n_chars, where there is such a column, is counted anew for texts that changed.
+    space. n_chars, where there is such a column, is counted anew for texts that changed. Null and
+    empty texts stay, repeated rows are cut alike, an empty table gives none, and an empty table of
+    items changes nothing.
     """
     import re
 
     names = [f"c{i}" for i in range(len(docs.columns))]
     lower = [c.lower() for c in docs.columns]
-    at = names[docs.columns.index("text") if "text" in docs.columns else lower.index("text")]
+    at = names[place_of(docs, "text")]
     own = docs.toDF(*names)
     frame = own.withColumnRenamed(at, "text")
     carry = [c for c in frame.columns]
@@ -341,6 +343,6 @@ def cut_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_wor
     fields = ", ".join(f"`{c}` {t}" for c, t in frame.dtypes)
     out = found.mapInArrow(arrow_task(run), fields).toDF(*names)
     if "n_chars" in lower:
-        n = names[lower.index("n_chars")]
+        n = names[place_of(docs, "n_chars")]
         out = out.withColumn(n, F.when(F.col(at).isNull() | F.col(n).isNull(), F.col(n)).otherwise(F.length(at)).cast(dict(own.dtypes)[n]))
     return out.toDF(*docs.columns)

@@ -6,7 +6,9 @@ calendar. A checked value becomes a row of small numbers, each with its own rang
 or a day count. Eight rounds add to each number of one half a keyed hash of the other half, modulo
 its range. This is a permutation of the values of that format, so equal values have equal
 pseudonyms in every document, different ones differ, and ``restore`` with the key undoes it. A
-card number gets a fresh check digit; punctuation, country codes and top-level domains stay.
+card number gets a fresh check digit; punctuation, country codes, top-level domains and the capitals
+of an e-mail address stay, so one address has one pseudonym in capitals or not. The key itself is
+in no plan: a keyed hash of it is, and that is left out where plans are shown or logged.
 
 Kinds: card (13 to 19 digits, in groups or not), ssn (3-2-4 digits), phone (ten digits of the North
 American plan, in its usual ways of writing), ip, date (year-month-day, day.month.year or
@@ -20,10 +22,13 @@ than the text, and n_chars where it is asked for, are passed on or ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import hmac
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import pick
+from quillspark.llm.common import pick, place_of
 
 ROUNDS = 8
 
@@ -91,7 +96,9 @@ def _value(key: str, back: bool) -> str:
     """SQL for the pseudonym of a match m, or m where its check fails."""
     numbers = lambda *x: f"array({', '.join(f'CAST({v} AS BIGINT)' for v in x)})"
     zero = lambda n: f"array_repeat(0L, {n})"
-    email = _characters("email", key, back, "i >= length(m) - locate('.', reverse(m))")
+    # An address is the same in capitals, which stay where they were.
+    low = _with([("w", "lower(m)"), ("m", "w")], _characters("email", key, back, "i >= length(m) - locate('.', reverse(m))"))
+    email = _with([("o", low)], "array_join(transform(sequence(1, length(m)), k -> CASE WHEN substring(m, k, 1) RLIKE '[A-Z]' THEN upper(substring(o, k, 1)) ELSE substring(o, k, 1) END), '')")
     secret = _characters("key", key, back, "i < length(regexp_extract(m, '^(?:AKIA| {0,2}[=:] {0,2}[\"\\']?)', 0))")
     # A number's digits are permuted by themselves, so all ways of writing it have one pseudonym.
     number = "regexp_replace(m, '[^0-9]', '')"
@@ -132,9 +139,19 @@ def _replaced(text: Column | str, key: str, back: bool) -> tuple[Column, Column]
     return found, F.expr(f"split({quoted}, {_quote(ANY)}, -1)")
 
 
+def _hidden(spark: SparkSession, key: str) -> str:
+    """What stands for the key in a plan: a keyed hash, which the session is told to leave out of
+    explained plans, event logs and the user interface."""
+    name, mark = "spark.sql.redaction.string.regex", "pseudonym-key-[0-9a-f]{64}"
+    there = spark.conf.get(name, None)
+    if mark not in (there or ""):
+        spark.conf.set(name, f"{there}|{mark}" if there else mark)
+    return "pseudonym-key-" + hmac.new(key.encode(), b"quillspark pseudonyms", hashlib.sha256).hexdigest()
+
+
 def _apply(docs: DataFrame, text: str, key: str, back: bool) -> DataFrame:
     """``docs`` (columns c0, c1..) with the text replaced and the columns __values and __old."""
-    found, pieces = _replaced(text, key, back)
+    found, pieces = _replaced(text, _hidden(docs.sparkSession, key), back)
     some = F.col(text).rlike(HINT)
     out = docs.withColumn("__found", F.when(some, found)).withColumn("__pieces", F.when(some, pieces))
     joined = F.expr("array_join(zip_with(__pieces, __found, (p, f) -> concat(p, coalesce(f.now, ''))), '')")
@@ -155,12 +172,13 @@ def restore(docs: DataFrame, key: str) -> DataFrame:
 
 
 def protect(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with pseudonyms in the text; same rows and columns, n_chars counted anew where the text changed."""
+    """``docs`` with pseudonyms in the text; same rows and columns, n_chars counted anew where the text
+    changed. Null and empty texts stay as they are, repeated rows stay alike, an empty table gives none."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     lower = [c.lower() for c in docs.columns]
-    at = names[docs.columns.index("text") if "text" in docs.columns else lower.index("text")]
+    at = names[place_of(docs, "text")]
     out = _apply(docs.toDF(*names), at, key, False)
     if "n_chars" in lower:
-        n = names[lower.index("n_chars")]
+        n = names[place_of(docs, "n_chars")]
         out = out.withColumn(n, F.when(F.col("__values") > 0, F.length(at).cast(dict(out.dtypes)[n])).otherwise(F.col(n)))
     return out.select(*names).toDF(*docs.columns)
