@@ -1,9 +1,14 @@
-"""Near duplicates by the similarity of five-word shingles, checked on the texts.
+"""Near duplicates by SimHash, completed and checked on the five-word shingles of the texts.
 
 Words are runs of letters and digits, as in ``fmindex``; a text of fewer words is one shingle.
 Two texts are near duplicates when their sets of shingles have a Jaccard similarity of ``LEAST`` or
-more. Candidates share one of ``BANDS`` keys over ``WIDTH`` minima of the set each; a pair of
-similarity 0.8 shares none in two cases of a million. Pairs of a bucket whose minima agree in less
+more, and none is dropped without that comparison of whole texts.
+
+Candidates come first from the fingerprints of the shingles, linked within ``FINGERPRINT_BITS`` bits
+by the deletion-variant signatures of ``simhash``. Scattered changes move more bits than segments
+can tell apart: at a similarity of 0.8 a bit differs with a probability of 0.15, about ten of 64. So
+texts that are still apart also meet by ``BANDS`` keys over ``WIDTH`` minima of the set each; a pair
+of similarity 0.8 shares none in two cases of a million. Pairs of a bucket whose minima agree in less
 than ``ALIKE`` of all places are left out; at 0.8 that is five standard deviations away.
 
 Each round takes candidate links between groups that are still apart, one for a text at most, and
@@ -19,14 +24,15 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_task, bound_batches, materialise
-from quillspark.llm.simhash import SEED, _runs, components
+from quillspark.llm.common import arrow_task, bound_batches, drop_table, materialise, place_of
+from quillspark.llm.simhash import SEED, _runs, components, links, majority
 
 SHINGLE = 5
 LEAST = 0.8
+FINGERPRINT_BITS = 5
 BANDS, WIDTH = 25, 4
 ALIKE = 0.6
 
@@ -36,8 +42,8 @@ _TIMES = _RNG.integers(0, 1 << 64, (BANDS * WIDTH, 1), np.uint64) | np.uint64(1)
 _MASK = _RNG.integers(0, 1 << 64, (BANDS * WIDTH, 1), np.uint64)
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """The hashes of a text's shingles, each once, ascending."""
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """The hashes of a text's shingles, repeats included."""
     import xxhash
 
     low = (text or "").encode("utf-8", "replace").lower()
@@ -46,7 +52,12 @@ def shingle_set(text: str | None) -> np.ndarray:
         parts = [b" ".join(words or low.split())]
     else:
         parts = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE))))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64))
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64)
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """The hashes of a text's shingles, each once, ascending."""
+    return np.unique(shingle_hashes(text))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -62,21 +73,23 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 
 def _signed(rows: DataFrame) -> DataFrame:
-    """(doc_id, node, bands, minima) of rows (doc_id, node, text)."""
+    """(doc_id, node, fp, bands, minima) of rows (doc_id, node, text)."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bands, tails = [], []
+            fps, bands, tails = [], [], []
             for t in b.column(2):
-                m = minima(shingle_set(t.as_py()))
+                hashes = shingle_hashes(t.as_py())
+                fps.append(majority(hashes))
+                m = minima(np.unique(hashes))
                 keys = [xxhash.xxh64_intdigest(part.tobytes(), seed=k) for k, part in enumerate(m.reshape(BANDS, WIDTH))]
                 bands.append(np.array(keys, np.uint64).view(np.int64))
                 tails.append((m >> np.uint64(24)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bands, pa.list_(pa.int64())), pa.array(tails, pa.binary())], ["doc_id", "node", "bands", "minima"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(tails, pa.binary())], ["doc_id", "node", "fp", "bands", "minima"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.select("doc_id", "node", "text").mapInArrow(arrow_task(run), f"doc_id {kind}, node long, bands array<long>, minima binary")
+    return rows.select("doc_id", "node", "text").mapInArrow(arrow_task(run), f"doc_id {kind}, node long, fp long, bands array<long>, minima binary")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,52 +148,61 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(holds, pa.bool_())], ["a", "b", "holds"])
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """(a, b) with a < b: nodes of one fingerprint in a chain, and the first nodes of fingerprints that are linked."""
+    chain = nodes.select(F.lag("node").over(Window.partitionBy("fp").orderBy("node")).alias("a"), F.col("node").alias("b")).where("a IS NOT NULL")
+    first = materialise(nodes.groupBy("fp").agg(F.min("node").alias("node")), "shingle-fps")
+    near = links(first.select("fp"), FINGERPRINT_BITS).toDF("x", "y").join(first.toDF("x", "p"), "x").join(first.toDF("y", "q"), "y")
+    return chain.unionByName(near.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))).distinct()
+
+
+def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, holds) of pairs of nodes."""
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    held = materialise(texts.join(asked, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "shingle-texts")
+    both = pairs.join(held.toDF("a", "x").hint("merge"), "a").join(held.toDF("b", "y").hint("merge"), "b")
+    out = materialise(both.select("a", "b", "x", "y").mapInArrow(arrow_task(_compared), "a long, b long, holds boolean"), "shingle-links")
+    drop_table(held)
+    return out
+
+
 def _links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b): links between nodes that hold and that join all that candidates can join.
 
-    ``texts``: node, text, with repeats; ``nodes``: node, bands, minima.
+    ``texts``: node, text, with repeats; ``nodes``: node, fp, bands, minima.
     """
+    tried = _checked(materialise(_by_fingerprint(nodes), "shingle-pairs"), texts)
     keyed = nodes.select("node", F.explode("bands").alias("key")).select("key", "node")
     buckets = materialise(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(arrow_task(_shared), "key long, node long"), "shingle-buckets")
     tails = nodes.select("node", "minima").hint("merge")
-    tried = labels = None
     while True:
-        rows = buckets.join(tails, "node")
-        if tried is None:
-            rows = rows.withColumns({"label": F.col("node"), "failed": F.lit(None).cast("array<long>")})
-        else:
-            wrong = tried.where("NOT holds").groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("failed"))
-            rows = rows.join(labels.withColumnRenamed("label", "l"), "node", "left").withColumn("label", F.coalesce("l", "node")).join(wrong, "node", "left")
+        labels = components(tried.where("holds").select("a", "b"), "shingle")
+        wrong = tried.where("NOT holds").groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("failed"))
+        rows = buckets.join(tails, "node").join(labels.withColumnRenamed("label", "l"), "node", "left").withColumn("label", F.coalesce("l", "node")).join(wrong, "node", "left")
         rows = rows.select("key", "node", "label", "failed", "minima").repartition("key").sortWithinPartitions("key", "node")
         found = rows.mapInArrow(arrow_task(_open_links), "a long, b long")
         # The nearest smaller node: chains rather than stars, so no text meets very many others.
         pairs = materialise(found.groupBy("b").agg(F.max("a").alias("a")).select("a", "b"), "shingle-pairs")
         if pairs.isEmpty():
-            break
-        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        held = materialise(texts.join(asked, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "shingle-texts")
-        both = pairs.join(held.toDF("a", "x").hint("merge"), "a").join(held.toDF("b", "y").hint("merge"), "b")
-        new = materialise(both.select("a", "b", "x", "y").mapInArrow(arrow_task(_compared), "a long, b long, holds boolean"), "shingle-links")
-        tried = new if tried is None else tried.unionByName(new)
-        labels = components(tried.where("holds").select("a", "b"), "shingle")
-    return pairs if tried is None else tried.where("holds").select("a", "b")
+            return tried.where("holds").select("a", "b")
+        tried = tried.unionByName(_checked(pairs, texts))
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of linked texts, the one of smallest id; same columns.
 
     Rows alike in id and text count once; rows that share an id alone are compared like any others.
-    Rows without an id always stay.
+    Rows without an id always stay. Null and empty texts are one text. An empty table gives none.
+    Other columns are passed on, whatever their names.
     """
     bound_batches(docs.sparkSession)
     names = [f"c{i}" for i in range(len(docs.columns))]
-    lower = [c.lower() for c in docs.columns]
-    at, text = (names[docs.columns.index(c) if c in docs.columns else lower.index(c)] for c in ("doc_id", "text"))
+    at, text = (names[place_of(docs, c)] for c in ("doc_id", "text"))
     node = F.xxhash64(F.coalesce(text, F.lit("")))
     own = docs.toDF(*names)
     rows = own.select(F.col(at).alias("doc_id"), node.alias("node"), F.col(text).alias("text"))
     signed = materialise(_signed(rows.where("doc_id IS NOT NULL")), "shingle-minima")
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("minima").alias("minima"))
+    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("minima").alias("minima"))
     nodes = materialise(nodes, "shingle-nodes")
     labels = components(_links(rows.select("node", F.coalesce("text", F.lit("")).alias("text")), nodes), "shingle")
     named = nodes.select("node", "least").join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("root"))

@@ -35,6 +35,15 @@ SEED = 42
 ROWS = 1 << 17
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of some 64-bit hashes have set; 0 of none."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), 65536):
+        block = hashes[a : a + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(block, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """The fingerprint of one whole text as an unsigned integer."""
     import xxhash
@@ -48,12 +57,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     else:
         parts = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     n = max(1, len(words) - shingle + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for a in range(0, n, 65536):
-        block = hashes[a : a + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(block, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, n))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -266,21 +270,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS)
     roots = materialise(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-roots")
     member = materialise(named.join(roots, "root").select("fp", "component_id"), "simhash-members")
     return fps.join(member, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one_each(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document of each component, the one of smallest id; same columns.
-
-    Rows that repeat an id count as copies of each other. Rows without an id always stay.
-    """
-    found = near_duplicates(docs, shingle, max_bits)
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    at = names[next(i for i, c in enumerate(docs.columns) if c.lower() == "doc_id")]
-    own = docs.toDF(*names)
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows")).select(F.col("doc_id").alias("keep_id"), "n_rows")
-    kept = materialise(kept, "simhash-kept")
-    # Merged at every size: texts move once, whether or not the list of kept ids is small.
-    joined = own.join(kept.hint("merge"), own[at] == kept.keep_id)
-    once = joined.where("n_rows = 1").select(*names)
-    again = joined.where("n_rows > 1").select(*names).dropDuplicates([at])
-    return once.unionByName(again).unionByName(own.where(F.col(at).isNull())).toDF(*docs.columns)

@@ -1,5 +1,8 @@
 """Language identification and toxicity: held-out accuracy, and defined results for odd rows."""
 
+import math
+import random
+import re
 import zlib
 
 from pyspark.sql import functions as F
@@ -51,7 +54,13 @@ def test_language_does_not_read_ids_or_labels(spark, odd_docs):
 
 def test_keep_identified(spark, odd_docs):
     kept = language.keep_identified(odd_docs)
-    assert kept.columns == odd_docs.columns and {3, 4, 5, 6}.isdisjoint({r.doc_id for r in kept.collect()})
+    rows = kept.collect()
+    assert kept.columns == odd_docs.columns and {3, 4, 5, 6}.isdisjoint({r.doc_id for r in rows}) and all(r.lang for r in rows)
+    # What no language learnt here has: another script, held out of learning by its null lang.
+    greek = odd_docs.where("doc_id = 9").withColumn("doc_id", F.lit(77).cast("long")).withColumn("text", F.lit("Στην αρχή ήταν ο λόγος και ο λόγος"))
+    assert 77 not in {r.doc_id for r in language.keep_identified(odd_docs.unionByName(greek)).collect()}
+    only = language.keep_identified(odd_docs, languages={"de"}).collect()
+    assert only and {r.lang for r in only} == {"de"} and language.keep_identified(odd_docs.limit(0)).collect() == []
 
 
 def test_grammar():
@@ -63,6 +72,62 @@ def test_grammar():
     assert m.score("you idiot, you moron, you scum") > m.score("a calm day") and m.score(None) == m.score("")
 
 
+def plain_clauses(grammar, text):
+    """What the grammar says, read off the words without states."""
+    out = []
+    quoted = False
+    for line in (text or "").lower().split("\n"):
+        quoted = False
+        for part in re.split(r"[.!?;:]", line):
+            words, within = [], []
+            for m in re.finditer(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”„«»]", part):
+                if m.group() in "\"“”„«»":
+                    quoted = not quoted
+                else:
+                    words.append(m.group())
+                    within.append(quoted)
+            x = [0.0] * 5
+            match = False
+            for i, w in enumerate(words):
+                near = lambda kind, n: any(v in kind for v in words[max(0, i - n) : i])  # noqa: E731, B023
+                said, no = any(v in toxicity.SAYING_SET for v in words[:i]) or within[i], near(toxicity.NEGATION_SET, toxicity.NEGATED)
+                own = grammar.patterns.get(w + "$", next((grammar.patterns[w[:n]] for n in range(len(w), 0, -1) if w[:n] in grammar.patterns), 0.0))
+                if own:
+                    x[3 if said else 2 if no else 1 if near(toxicity.PERSON_SET, toxicity.AIMED) else 0] += min(own, toxicity.MOST_WEIGHT) / toxicity.MOST_WEIGHT
+                met = w in toxicity.THREAT_SET and near(toxicity.PERSON_SET, toxicity.NEAR) or w in toxicity.PERSON_SET and near(toxicity.THREAT_SET, toxicity.NEAR)
+                x[4] += bool(met and not said and not no)
+                match = match or bool(own) or bool(met and not said and not no)
+            if match:
+                out.append(x)
+    return out
+
+
+def test_composition_against_plain_reading():
+    rng = random.Random(6)
+    grammar = toxicity.Grammar({"lowei": 5.0, "kil": 2.0, "mud$": 3.0})
+    machine = toxicity.Machine(grammar)
+    words = ["idiot", "loweiung", "kill", "you", "he", "not", "never", "said", "wrote", "mud", "the", "day", "was", "don't", "hurt", '"', '"', ".", ";", "\n"]
+    for _ in range(400):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 40)))
+        got, want = machine.clauses(text), plain_clauses(grammar, text)
+        assert len(got) == len(want) and all(abs(a - b) < 1e-9 for x, y in zip(got, want) for a, b in zip(x, y)), text
+        w, best, total = grammar.weights[1:], 0.0, 0.0
+        scores = [float(w @ x) for x in want]
+        best, total = max(scores, default=0.0), min(sum(s for s in scores if s > 0), toxicity.MOST_SUM)
+        z = grammar.clauses @ [1, best, total]
+        assert abs(machine.score(text) - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_the_sample_has_a_bound(spark):
+    hot = next(k for k in range(5, 50) if zlib.crc32(str(k).encode()) % 3 != 1)
+    docs = spark.createDataFrame([(hot, f"text number {i}") for i in range(500)] + [(k, "same text") for k in range(50, 300)] + [(hot, "same text")] * 400, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 0, int(k == hot)) for k in range(5, 300)], "doc_id long, quality int, toxic int")
+    rows = toxicity._sample(docs, labels, 40).collect()
+    assert len(rows) <= 40 and {r.toxic for r in rows} == {0, 1} and len({r.text for r in rows if r.toxic}) == sum(r.toxic for r in rows)
+    model = language._sample(docs.withColumn("lang", F.lit("en")), 30).collect()
+    assert 0 < len(model) <= 30 and len({r.text for r in model}) == len(model)
+
+
 def test_patterns():
     rows = [("lowei", 60, 0), ("loweiung", 20, 0), ("loweiung$", 20, 0), ("low", 60, 0), ("the$", 90, 880), ("idiot$", 50, 0), ("idiot", 51, 0), ("rare$", 1, 0)]
     kept = toxicity.choose(rows, 100, 1000)

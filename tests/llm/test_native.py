@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import html, licences, merkle, pseudonyms, queries, simhash
+from quillspark.llm import html, licences, merkle, pipeline, pseudonyms, queries, simhash
 from quillspark.llm.queries import damaged
 
 TEXTS = [
@@ -38,6 +38,12 @@ WRAPPED = [
     ("under the\nMIT License\nAll rights reserved", "All-rights-reserved,MIT"),
     ("under the GNU General\n\nPublic License, version 3", ""),
     ("Licensed under CC BY 4.0. 2020 All rights reserved.", "All-rights-reserved,CC-BY"),
+    ('Permission is hereby granted, free of charge, to any person obtaining a copy of it. The above copyright notice and this permission notice shall be included. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY', "MIT"),
+    ("Redistribution and use in source and binary forms. Redistributions of source code must retain it. Redistributions in binary form must reproduce it. Neither the name of Foo Corp. nor the names of its staff may be used to endorse it.", "BSD-2-Clause"),
+    ("Redistribution and use in source and binary forms. Redistributions of source code must retain it. Redistributions in binary form must reproduce it. Neither the name of Foo Corp nor the names of its staff may be used to endorse it.", "BSD-3-Clause"),
+    ("GNU General Public License as published by\nthe Free Software Foundation; either version 3 of the License", "GPL-3.0"),
+    ("Creative Commons Attribution-NonCommercial 4.0", "CC-BY-NC"),
+    ("see http://www.apache.org/licenses/LICENSE-2.0 for it", "Apache-2.0"),
 ]
 
 
@@ -47,6 +53,54 @@ def test_wrapped_licences(spark):
     assert [rows[i] for i in range(len(WRAPPED))] == [w for _, w in WRAPPED]
 
 
+def plain_licences(text):
+    """Sentences, identifiers and rules by plain loops over words."""
+    def words_of(s):
+        s = re.sub(r"[^\w./]|_", " ", s.lower()).replace("licence", "license")
+        s = re.sub(r"(^| )(?:version|ver|v)\.? *(?=[0-9])", r"\1v", " ".join(s.split()))
+        return [re.sub(r"^(v\d+)\.0$", r"\1", w.rstrip(".")) for w in s.split() if w.rstrip(".")]
+
+    def meets(words, at, known):
+        if not known:
+            return at
+        if known[0] == "*":
+            return next((e for e in (meets(words, k, known[1:]) for k in range(at, min(len(words), at + licences.SLOT) + 1)) if e is not None), None)
+        if at < len(words) and isinstance(words[at], str) and re.fullmatch(re.escape(known[0]).replace("%", ".*"), words[at]):
+            return meets(words, at + 1, known[1:])
+        return None
+
+    def place(items, table):
+        """Each row of a table takes its runs of what is left."""
+        for name, known in table:
+            at = 0
+            while at < len(items):
+                end = meets(items, at, known) if isinstance(items[at], str) else None
+                if end is not None and end > at and all(isinstance(x, str) for x in items[at:end]):
+                    items[at:end] = [(name,)]
+                at += 1
+        return [x[0] for x in items if isinstance(x, tuple)]
+
+    ids = []
+    for paragraph in re.split(r"\n(?:[^\w\n]*\n)+", text or "") if re.search(licences.HINT, text or "") else []:
+        for sentence in re.split(r"(?<=[.!?])[ \t\f\r\n]+(?![0-9])", paragraph.replace("\n", " ")):
+            if re.search(licences.HINT, sentence):
+                words = words_of(sentence)
+                named = place(list(words), [(i, t.split(" ")) for i, t in licences.SENTENCES])
+                ids += named or (["?"] if re.search(r"licensed? |copyright|all rights|permission", " ".join(words) + " ") else [])
+    return ",".join(sorted(set(place(list(ids), licences.RULES)))), ",".join(ids), ids.count("?")
+
+
+def test_licences_against_plain_reading(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    own = spark.createDataFrame([(10**6 + i, t) for i, (t, _) in enumerate(TEXTS + WRAPPED)], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").unionByName(own)
+    texts = {r.doc_id: r.text for r in rows.collect()}
+    found = licences.scan(rows).collect()
+    assert any(r.licences for r in found) and len(found) == len(texts)
+    for r in found:
+        assert (r.licences, r.sentence_ids, r.n_unknown) == plain_licences(texts[r.doc_id]), texts[r.doc_id]
+
+
 def test_licence_sql(spark, small):
     import duckdb
 
@@ -54,6 +108,11 @@ def test_licence_sql(spark, small):
     names = ["doc_id", "licences", "sentence_ids", "n_unknown"]
     got = [tuple(r[n] for n in names) for r in licences.scan(spark.read.parquet(f"{small}/documents.parquet")).collect()]
     assert sorted(got) == sorted(want)
+    own = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(TEXTS + WRAPPED)], "doc_id int, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE own (doc_id INT, text VARCHAR)")
+    con.executemany("INSERT INTO own VALUES (?, ?)", [tuple(r) for r in own.collect()])
+    assert sorted(tuple(r[n] for n in names) for r in licences.scan(own).collect()) == sorted(con.execute(licences.sql("own")).fetchall())
 
 
 def test_audit(spark, small):
@@ -168,6 +227,18 @@ def test_secrets_and_plain_text(spark):
     assert [(r.text, r.n_values) for r in rows[1:]] == [("", 0), (None, 0), ("no values here", 0), ("٣٤٥ １２３", 0)]
 
 
+def test_addresses_are_linked_in_capitals(spark):
+    a, b = run(spark, ["Anna.Lee@site.org", "anna.lee@SITE.org"])
+    assert a.text != b.text and a.text.lower() == b.text.lower() and a.text[0].isupper() and a.text[5].isupper()
+    assert run(spark, [a.text, b.text], back=True)[0].text == "Anna.Lee@site.org"
+
+
+def test_the_key_is_in_no_plan(spark):
+    df = pseudonyms.pseudonymise(spark.createDataFrame([(1, "10.0.200.7")], "doc_id int, text string"), "a very secret key")
+    plan = df._jdf.queryExecution().toString()
+    assert "a very secret key" not in plan and not re.search(r"pseudonym-key-[0-9a-f]{64}", plan) and "redacted" in plan
+
+
 def test_protect(spark, odd_docs):
     docs = odd_docs.withColumn("text", F.when(F.col("doc_id") == 1, "ip 10.0.200.7 and 1.1.1.1").otherwise(F.col("text")))
     out = pseudonyms.protect(docs, "k")
@@ -277,21 +348,34 @@ def test_extract(spark, small):
 
 
 def test_pipeline(spark, small):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{small}/documents.parquet")
     docs = docs.unionByName(docs.where("doc_id = 1").withColumn("doc_id", F.lit(10**6).cast("long"))).unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.lit(10**6 + 1).cast("long")))
     kept = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    for name, stage in pipeline.STAGES[:-1]:
         out = stage(spark, kept, small)
         assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
         kept = out
     ids = {r.doc_id for r in kept.collect()}
     assert 10**6 not in ids and 10**6 + 1 not in ids and 1 in ids
-    fp = [simhash.fingerprint(r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, small).collect()]
+    fp = [simhash.fingerprint(r.text) for r in pipeline.drop_near_duplicates(spark, docs, small).collect()]
     assert all(bin(a ^ b).count("1") > 5 for i, a in enumerate(fp) for b in fp[:i])
-    pieces = corpus_pipeline.pack(spark, kept, small)
+    pieces = pipeline.pack(spark, kept, small)
     assert {r.doc_id for r in pieces.collect()} == ids
-    assert corpus_pipeline.run(spark, small).count() > 0
+    assert pipeline.run(spark, small).count() > 0
+
+
+def test_pipeline_of_odd_rows(spark, odd_docs, tmp_path):
+    spark.createDataFrame([(1, "no such words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, docs in (("odd", odd_docs), ("empty", odd_docs.limit(0))):
+        kept = docs
+        for _, stage in pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, str(tmp_path))
+            assert kept.columns == docs.columns, name
+        pieces = pipeline.pack(spark, kept, str(tmp_path)).collect()
+        assert bool(pieces) == (name == "odd")
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{tmp_path}/benchmark.parquet").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        assert pipeline.run(spark, f"{tmp_path}/{name}").count() == len(pieces)
 
 
 def test_registered():

@@ -2,13 +2,12 @@
 
 import random
 
-import corpus_pipeline
-from quillspark.llm import shingles, simhash
+from quillspark.llm import pipeline, shingles, simhash
 
 
 def kept(spark, texts):
     df = spark.createDataFrame(list(texts), "doc_id long, text string")
-    return sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect())
+    return sorted((r.doc_id, r.text) for r in pipeline.drop_near_duplicates(spark, df, "").collect())
 
 
 def plain(texts):

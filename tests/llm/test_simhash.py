@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import simhash
+from quillspark.llm import shingles, simhash
 
 
 def plain(text, shingle=3):
@@ -99,7 +99,8 @@ def test_odd_rows(spark, odd_docs):
     assert by[2].component_id == 1 and by[3].component_id == by[4].component_id == by[5].component_id == 3
     assert by[3].fingerprint == "0" * 16
     assert simhash.near_duplicates(odd_docs.limit(0)).collect() == []
-    kept = simhash.keep_one_each(odd_docs)
+    kept = shingles.keep_one_each(odd_docs)
     assert kept.columns == odd_docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(2) == 0 and ids.count(1) == 1 and None in ids and len(ids) == len(set(ids))
+    assert shingles.keep_one_each(odd_docs.limit(0)).collect() == []
