@@ -1,62 +1,5 @@
-"""Documents to packed training sequences in five stages.
+"""The corpus pipeline: its stages, its SQL and the run over a folder of tables; see quillspark.llm.pipeline."""
 
-Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and its result is
-written as Parquet before the next reads it.
-"""
+from quillspark.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from quillspark.llm import fmindex, language, packing, pseudonyms, shingles
-from quillspark.llm.common import checkpoint_dir, read_table
-from quillspark.llm.queries import KEY, vocabulary
-
-
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language."""
-    return language.keep_identified(docs)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a five-word shingle similarity of 0.8 or more."""
-    return shingles.keep_one_each(docs)
-
-
-def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of benchmark items."""
-    return fmindex.cut_spans(docs, read_table(spark, sf_dir, "benchmark"))
-
-
-def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with pseudonyms for personal values."""
-    return pseudonyms.protect(docs, KEY)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in training sequences."""
-    return packing.pack(docs, vocabulary())
-
-
-STAGES = [
-    ("language", identify_language),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontamination", remove_benchmark),
-    ("pseudonyms", pseudonymise),
-    ("packing", pack),
-]
-
-#: Models, 64-bit hashes, keyed permutations and tokenizers have no SQL.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    docs = read_table(spark, sf_dir, "documents")
-    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
