@@ -31,7 +31,7 @@ from quillspark.llm.common import arrow_task, bound_batches, held_out, materiali
 
 MAX_ROWS = 24_000
 #: Share of a language's words, and of its n-grams of one length, below which one is left to backoff.
-LEAST_WORD, LEAST_GRAM = 2e-6, 2e-5
+LEAST_WORD, LEAST_GRAM = 4e-6, 5e-5
 LONGEST = 5
 #: Minus log10 of the frequency that stands for what a language does not have.
 ABSENT = 7.0

@@ -8,12 +8,15 @@ Candidates come first from the fingerprints of the shingles, linked within ``FIN
 by the deletion-variant signatures of ``simhash``. Scattered changes move more bits than segments
 can tell apart: at a similarity of 0.8 a bit differs with a probability of 0.15, about ten of 64. So
 texts that are still apart also meet by ``BANDS`` keys over ``WIDTH`` minima of the set each; a pair
-of similarity 0.8 shares none in two cases of a million. Pairs of a bucket whose minima agree in less
-than ``ALIKE`` of all places are left out; at 0.8 that is five standard deviations away.
-
-Each round takes candidate links between groups that are still apart, one for a text at most, and
-compares the two texts' whole sets. Links that hold join groups, others are not tried again. It
-ends when no candidate lies between two groups, so a bucket's pairs are never written down.
+of similarity 0.8 shares none in four cases of ten thousand. A sketch of ``BINS`` bins, with the
+least hash of each, estimates the similarity of those that meet, and pairs below ``ESTIMATE`` are left
+out: at 0.8 the estimate of a long text is 0.025 off in the mean, and that of a short one hardly.
+
+A round takes the best candidates between groups that are still apart and compares the two texts'
+whole sets. Links that hold join groups, others are not tried again. The first round meets ``HUBS``
+texts of each bucket and tries one candidate for a text, each later one all texts of other groups in
+the bucket and ``MORE`` times as many candidates. It ends when no candidate lies between two groups,
+so all are tried that could join some, in few rounds, and pairs within a group are never written.
 """
 
 from __future__ import annotations
@@ -33,8 +36,9 @@ from quillspark.llm.simhash import SEED, _runs, components, links, majority
 SHINGLE = 5
 LEAST = 0.8
 FINGERPRINT_BITS = 5
-BANDS, WIDTH = 25, 4
-ALIKE = 0.6
+BANDS, WIDTH = 20, 5
+BINS, ESTIMATE = 256, 0.77
+HUBS, MORE = 32, 8
 
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 _RNG = np.random.default_rng(SEED)
@@ -72,8 +76,29 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The least hash of each bin, as a byte from 1; 0 for an empty bin."""
+    mixed = (hashes ^ _MASK[0, 0]) * _TIMES[0, 0]
+    mixed ^= mixed >> np.uint64(29)
+    bins = (mixed & np.uint64(BINS - 1)).astype(np.int64)
+    least = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, bins, mixed)
+    return np.where(np.bincount(bins, minlength=BINS) > 0, 1 + (least >> np.uint64(20)) % np.uint64(255), 0).astype(np.uint8)
+
+
+def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated similarities of each sketch of ``a`` with each of ``b``."""
+    out = np.empty((len(a), len(b)), np.float32)
+    step = max(1, (32 << 20) // (max(1, len(b)) * BINS))
+    for i in range(0, len(a), step):
+        x, y = a[i : i + step, None, :], b[None, :, :]
+        some = ((x | y) != 0).sum(axis=2)
+        out[i : i + step] = ((x == y) & (x != 0)).sum(axis=2) / np.maximum(some, 1)
+    return out
+
+
 def _signed(rows: DataFrame) -> DataFrame:
-    """(doc_id, node, fp, bands, minima) of rows (doc_id, node, text)."""
+    """(doc_id, node, fp, bands, sketch) of rows (doc_id, node, text)."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,63 +107,66 @@ def _signed(rows: DataFrame) -> DataFrame:
             for t in b.column(2):
                 hashes = shingle_hashes(t.as_py())
                 fps.append(majority(hashes))
-                m = minima(np.unique(hashes))
+                own = np.unique(hashes)
+                m = minima(own)
                 keys = [xxhash.xxh64_intdigest(part.tobytes(), seed=k) for k, part in enumerate(m.reshape(BANDS, WIDTH))]
                 bands.append(np.array(keys, np.uint64).view(np.int64))
-                tails.append((m >> np.uint64(24)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(tails, pa.binary())], ["doc_id", "node", "fp", "bands", "minima"])
+                tails.append(sketch(own).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(tails, pa.binary())], ["doc_id", "node", "fp", "bands", "sketch"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.select("doc_id", "node", "text").mapInArrow(arrow_task(run), f"doc_id {kind}, node long, fp long, bands array<long>, minima binary")
+    return rows.select("doc_id", "node", "text").mapInArrow(arrow_task(run), f"doc_id {kind}, node long, fp long, bands array<long>, sketch binary")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node) of buckets with two nodes or more."""
+    """Rows (who, key, node) of buckets with two nodes or more; ``who`` tells the bucket's nodes."""
+    import xxhash
+
     for key, node in _runs(batches, 1):
         same = key[1:] == key[:-1]
         some = np.append(same, False) | np.append(False, same)
-        yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(node[some])], ["key", "node"])
-
-
-def _open_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) that join what the candidates of sorted rows (key, node, label, failed, minima) join."""
-    for key, node, label, failed, tails in _runs(batches, 1):
-        minima_ = np.frombuffer(b"".join(tails), np.uint8).reshape(len(key), -1)
-        group = np.unique(label, return_inverse=True)[1]
-        up = list(range(int(group.max()) + 1))
-        tried = {(int(n), int(o)) for n, f in zip(node, failed) if f is not None for o in f}
-
-        def find(x: int) -> int:
-            while up[x] != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        bucket = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(key))))
-        at, links, step, root = np.arange(len(key)), [], 0, group
-        while True:
-            step += 1
-            at = at[at + step < len(key)]
-            at = at[bucket[at] == bucket[at + step]]
-            if step & (step - 1) == 0:
-                # Buckets that are one group have nothing left to join.
-                root = np.array([find(x) for x in range(len(up))])[group]
-                apart = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
-                at = at[apart[bucket[at]]]
-            if not len(at):
-                break
-            near = at[root[at] != root[at + step]]
-            near = near[(minima_[near] == minima_[near + step]).mean(axis=1) >= ALIKE]
-            for i in near.tolist():
-                x, y = find(int(group[i])), find(int(group[i + step]))
-                a, b = int(node[i]), int(node[i + step])
-                if x != y and (a, b) not in tried:
-                    up[max(x, y)] = min(x, y)
-                    links.append((a, b))
-        if links:
-            a, b = zip(*links)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        key, node = key[some], node[some]
+        cut = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)) if len(key) else np.zeros(1, np.int64)
+        who = [xxhash.xxh64_intdigest(node[x:y].tobytes()) for x, y in zip(cut, cut[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(who, np.uint64), np.diff(cut)).view(np.int64)), pa.array(key), pa.array(node)], ["who", "key", "node"])
+
+
+def _candidates(most: int):
+    """The task that finds, for each node of a bucket, its best candidates (a, b, alike) in other groups:
+    ``most`` of them, or one among the bucket's hubs where that is 1. Rows: key, node, label, failed, sketch."""
+
+    def best(node: np.ndarray, label: np.ndarray, sketches: np.ndarray, tried: set[tuple[int, int]], hubs: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        step = max(1, (1 << 22) // max(1, len(hubs)))
+        for i in range(0, len(node), step):
+            alike = estimates(sketches[i : i + step], sketches[hubs])
+            alike[label[i : i + step, None] == label[hubs][None, :]] = 0
+            for x, y in zip(*np.nonzero(alike >= ESTIMATE)):
+                if tried and (min(node[i + x], node[hubs[y]]), max(node[i + x], node[hubs[y]])) in tried:
+                    alike[x, y] = 0
+            take = np.argsort(-alike, axis=1, kind="stable")[:, :most]
+            for x in np.flatnonzero(alike.max(axis=1, initial=0) >= ESTIMATE):
+                for y in take[x]:
+                    if alike[x, y] >= ESTIMATE:
+                        a, b = int(node[i + x]), int(node[hubs[y]])
+                        yield min(a, b), max(a, b), float(alike[x, y])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, label, failed, tails in _runs(batches, 1):
+            sketches = np.frombuffer(b"".join(tails), np.uint8).reshape(len(key), -1)
+            cut = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+            found: set[tuple[int, int, float]] = set()
+            for x, y in zip(cut, cut[1:]):
+                if (label[x:y] == label[x]).all():
+                    continue
+                tried = {(min(int(n), int(o)), max(int(n), int(o))) for n, f in zip(node[x:y], failed[x:y]) if f is not None for o in f}
+                k = y - x
+                hubs = np.unique(np.linspace(0, k - 1, HUBS).astype(np.int64)) if most == 1 and k > HUBS else np.arange(k)
+                found |= set(best(node[x:y], label[x:y], sketches[x:y], tried, hubs))
+            if found:
+                a, b, alike = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(alike, pa.float64())], ["a", "b", "alike"])
+
+    return run
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,23 +197,33 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b): links between nodes that hold and that join all that candidates can join.
 
-    ``texts``: node, text, with repeats; ``nodes``: node, fp, bands, minima.
+    ``texts``: node, text, with repeats; ``nodes``: node, fp, bands, sketch.
     """
     tried = _checked(materialise(_by_fingerprint(nodes), "shingle-pairs"), texts)
     keyed = nodes.select("node", F.explode("bands").alias("key")).select("key", "node")
-    buckets = materialise(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(arrow_task(_shared), "key long, node long"), "shingle-buckets")
-    tails = nodes.select("node", "minima").hint("merge")
+    buckets = materialise(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(arrow_task(_shared), "who long, key long, node long"), "shingle-shared")
+    # Near copies share many keys: of buckets with the same nodes one is kept.
+    one = buckets.groupBy("who").agg(F.min("key").alias("key")).select("key")
+    buckets = materialise(buckets.join(one, "key", "left_semi").select("key", "node"), "shingle-buckets")
+    sketches = nodes.select("node", "sketch").hint("merge")
+    most = 1
     while True:
         labels = components(tried.where("holds").select("a", "b"), "shingle")
-        wrong = tried.where("NOT holds").groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("failed"))
-        rows = buckets.join(tails, "node").join(labels.withColumnRenamed("label", "l"), "node", "left").withColumn("label", F.coalesce("l", "node")).join(wrong, "node", "left")
-        rows = rows.select("key", "node", "label", "failed", "minima").repartition("key").sortWithinPartitions("key", "node")
-        found = rows.mapInArrow(arrow_task(_open_links), "a long, b long")
-        # The nearest smaller node: chains rather than stars, so no text meets very many others.
-        pairs = materialise(found.groupBy("b").agg(F.max("a").alias("a")).select("a", "b"), "shingle-pairs")
-        if pairs.isEmpty():
+        failed = tried.where("NOT holds").groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("failed"))
+        rows = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        # Buckets that are one group have nothing left to join, and their sketches stay where they are.
+        apart = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+        rows = materialise(rows.join(apart, "key", "left_semi"), "shingle-apart")
+        rows = rows.join(failed, "node", "left").join(sketches, "node").select("key", "node", "label", "failed", "sketch")
+        found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(arrow_task(_candidates(most)), "a long, b long, alike double")
+        found = found.groupBy("a", "b").agg(F.max("alike").alias("alike"))
+        nth = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("alike"), "a"))
+        pairs = materialise(found.withColumn("nth", nth).where(F.col("nth") <= most).select("a", "b"), "shingle-pairs")
+        if not pairs.isEmpty():
+            tried = tried.unionByName(_checked(pairs, texts))
+        elif most > 1:
             return tried.where("holds").select("a", "b")
-        tried = tried.unionByName(_checked(pairs, texts))
+        most *= MORE
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
@@ -202,7 +240,7 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     own = docs.toDF(*names)
     rows = own.select(F.col(at).alias("doc_id"), node.alias("node"), F.col(text).alias("text"))
     signed = materialise(_signed(rows.where("doc_id IS NOT NULL")), "shingle-minima")
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("minima").alias("minima"))
+    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = materialise(nodes, "shingle-nodes")
     labels = components(_links(rows.select("node", F.coalesce("text", F.lit("")).alias("text")), nodes), "shingle")
     named = nodes.select("node", "least").join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("root"))
