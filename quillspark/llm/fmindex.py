@@ -36,7 +36,7 @@ from quillspark.llm.common import arrow_task, bound_batches, materialise, pick,
 from quillspark.llm.suffixes import suffix_array
 
 WINDOW = 10
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 BLOCK_WORDS = 4_000_000
 SAMPLE = 8
 

@@ -40,7 +40,7 @@ UNKNOWN = "und"
 FOREIGN = 6.5
 #: Words from which on more words no longer raise the score, and its steepness.
 CERTAIN_WORDS, STEEPNESS = 24, 1.0
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 24 << 20
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -56,13 +56,16 @@ class Model:
     """Costs of words and n-grams: minus log10 of their frequency in each language."""
 
     def __init__(self, langs: list[str], words: dict[str, list[float]], grams: list[dict[str, list[float]]]):
-        self.langs, self.words, self.grams = langs, words, grams
+        self.langs, self.grams = langs, grams
+        # Words are many: their costs are rows of one array.
+        self.words = {w: k for k, w in enumerate(words)}
+        self.costs = np.array(list(words.values()), np.float32).reshape(len(words), len(langs))
         self.none = [ABSENT] * len(langs)
 
     def cost(self, word: str) -> list[float]:
         known = self.words.get(word)
         if known is not None:
-            return known
+            return self.costs[known].tolist()
         padded = f" {word} "
         for n in range(min(LONGEST, len(padded)), 0, -1):
             # The word's edges are part of longer n-grams; alone they say nothing.

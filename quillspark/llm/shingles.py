@@ -39,6 +39,8 @@ FINGERPRINT_BITS = 5
 BANDS, WIDTH = 20, 5
 BINS, ESTIMATE = 256, 0.77
 HUBS, MORE = 32, 8
+#: Rows of sketches that a task holds, or one bucket.
+ROWS = 1 << 14
 
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 _RNG = np.random.default_rng(SEED)
@@ -89,7 +91,7 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated similarities of each sketch of ``a`` with each of ``b``."""
     out = np.empty((len(a), len(b)), np.float32)
-    step = max(1, (32 << 20) // (max(1, len(b)) * BINS))
+    step = max(1, (4 << 20) // (max(1, len(b)) * BINS))
     for i in range(0, len(a), step):
         x, y = a[i : i + step, None, :], b[None, :, :]
         some = ((x | y) != 0).sum(axis=2)
@@ -136,7 +138,7 @@ def _candidates(most: int):
     ``most`` of them, or one among the bucket's hubs where that is 1. Rows: key, node, label, failed, sketch."""
 
     def best(node: np.ndarray, label: np.ndarray, sketches: np.ndarray, tried: set[tuple[int, int]], hubs: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        step = max(1, (1 << 22) // max(1, len(hubs)))
+        step = max(1, (1 << 20) // max(1, len(hubs)))
         for i in range(0, len(node), step):
             alike = estimates(sketches[i : i + step], sketches[hubs])
             alike[label[i : i + step, None] == label[hubs][None, :]] = 0
@@ -151,7 +153,7 @@ def _candidates(most: int):
                         yield min(a, b), max(a, b), float(alike[x, y])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, label, failed, tails in _runs(batches, 1):
+        for key, node, label, failed, tails in _runs(batches, 1, ROWS):
             sketches = np.frombuffer(b"".join(tails), np.uint8).reshape(len(key), -1)
             cut = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
             found: set[tuple[int, int, float]] = set()

@@ -117,7 +117,7 @@ def _forest(same: np.ndarray, wild: np.ndarray, fp: np.ndarray, most: int) -> tu
     return ids[moved], ids[label[moved]]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[np.ndarray]]:
+def _runs(batches: Iterator[pa.RecordBatch], n_keys: int, rows: int = ROWS) -> Iterator[list[np.ndarray]]:
     """Columns (keys.., fp) of sorted rows in chunks that end with a bucket."""
     held: list[np.ndarray] = []
 
@@ -130,7 +130,7 @@ def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[np.nd
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         held = [np.concatenate(x) for x in zip(held, cols)] if held else cols
-        if len(held[0]) >= ROWS and len(cut := ends(held)):
+        if len(held[0]) >= rows and len(cut := ends(held)):
             yield [c[: cut[-1]] for c in held]
             held = [c[cut[-1] :] for c in held]
     if held and len(held[0]):

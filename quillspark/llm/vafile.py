@@ -171,8 +171,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, cells: int = CELLS,
     for more in parts[1:]:
         left = left.unionByName(more)
     order = Window.partitionBy("query").orderBy(F.desc("upper"), "key")
-    # Only the first of a query are put in order; a query may have very many near to it.
-    ahead = materialise(left.withColumn("place", F.row_number().over(order)).where(F.col("place") <= FIRST).select("query", "key"), "vafile-ahead")
+    # Only the first of a query are put in order, of parts of its candidates and then of these: a
+    # query may have very many near to it.
+    part = Window.partitionBy("query", "part").orderBy(F.desc("upper"), "key")
+    ahead = left.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(FIRST))).withColumn("place", F.row_number().over(part)).where(F.col("place") <= FIRST)
+    ahead = materialise(ahead.withColumn("place", F.row_number().over(order)).where(F.col("place") <= FIRST).select("query", "key"), "vafile-ahead")
     drop_table(file)
     if max(abs(least), abs(most)) ** 2 * max(1, longest) < 1 << 62:
         dot = F.expr("aggregate(zip_with(v, q, (x, y) -> x * y), 0L, (s, x) -> s + x)")

@@ -1,5 +1,6 @@
 """Language identification and toxicity: held-out accuracy, and defined results for odd rows."""
 
+import collections
 import math
 import random
 import re
@@ -35,6 +36,46 @@ def test_language_accuracy(spark):
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
 
 
+def test_language_against_plain_counts(spark, small):
+    docs = read_table(spark, small, "documents")
+    learnt = language._sample(docs.where("text IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("doc_id"))), language.MAX_ROWS).collect()
+    langs = sorted({r.lang for r in learnt})
+    words, grams = ({x: collections.Counter() for x in langs} for _ in range(2))
+    for r in learnt:
+        words[r.lang].update(w for w in re.split(r"[\W\d_]+", r.text.lower()) if w)
+    for x in langs:
+        for w, n in words[x].items():
+            for k in range(1, 6):
+                t = w if k == 1 else f" {w} "
+                for i in range(len(t) - k + 1):
+                    grams[x][t[i : i + k]] += n
+    totals = {(x, k): sum(n for g, n in grams[x].items() if len(g) == k) for x in langs for k in range(1, 6)}
+    keep_w = {x: {w: -math.log10(n / sum(words[x].values())) for w, n in words[x].items() if n >= language.LEAST_WORD * sum(words[x].values())} for x in langs}
+    keep_g = {x: {g: -math.log10(n / totals[x, len(g)]) for g, n in grams[x].items() if n >= language.LEAST_GRAM * totals[x, len(g)]} for x in langs}
+
+    def cost(w):
+        if any(w in keep_w[x] for x in langs):
+            return [keep_w[x].get(w, language.ABSENT) for x in langs]
+        for k in range(5, 0, -1):
+            t = w if k == 1 else f" {w} "
+            some = [t[i : i + k] for i in range(len(t) - k + 1) if any(t[i : i + k] in keep_g[x] for x in langs)]
+            if some:
+                return [sum(keep_g[x].get(g, language.ABSENT) for g in some) / len(some) for x in langs]
+        return [language.ABSENT] * len(langs)
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in language.identify(docs).collect():
+        own = [w for w in re.split(r"[\W\d_]+", (texts[r.doc_id] or "").lower()) if w]
+        if not own:
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        mean = [sum(c) / len(own) for c in zip(*map(cost, own))]
+        best = min(range(len(langs)), key=lambda i: (mean[i], langs[i]))
+        odds = sum(10 ** (-(m - mean[best]) * min(len(own), language.CERTAIN_WORDS)) for m in mean)
+        assert r.lang_pred == langs[best] or min(abs(mean[best] - m) for i, m in enumerate(mean) if i != best) < 1e-5
+        assert abs(r.score - 1 / odds) < 1e-3
+
+
 def test_language_of_odd_rows(spark, odd_docs):
     rows = language.identify(odd_docs).collect()
     assert len(rows) == 12
@@ -118,6 +159,37 @@ def test_composition_against_plain_reading():
         assert abs(machine.score(text) - 1 / (1 + math.exp(-z))) < 1e-9
 
 
+def test_toxicity_against_plain_reading(spark, small):
+    docs, labels = read_table(spark, small, "documents"), read_table(spark, small, "labels")
+    grammar = toxicity.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = toxicity.detect(docs, labels).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        scores = [float(grammar.weights[1:] @ x) for x in plain_clauses(grammar, texts[r.doc_id])]
+        z = grammar.clauses @ [1, max(scores, default=0.0), min(sum(s for s in scores if s > 0), toxicity.MOST_SUM)]
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9 and r.predicted == int(r.score >= 0.7), r.doc_id
+
+
+def test_patterns_against_plain_counts(spark):
+    toxic = [f"they are zorgling number {i} and blarg" for i in range(40)]
+    clean = [f"a calm day number {i} by the river" for i in range(200)]
+    texts = list(enumerate(toxic + clean))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, int(i < 40)) for i, _ in texts], "doc_id long, quality int, toxic int")
+    learnt = [(t, i < 40) for i, t in texts if zlib.crc32(str(i).encode()) % 3 != 1]
+    counts = {}
+    for t, bad in learnt:
+        own = {x for w in set(re.findall(r"[a-z]+", t)) if len(w) >= 3 for x in (w + "$", *(w[:n] for n in toxicity.STEMS if len(w) > n))}
+        for x in own:
+            counts.setdefault(x, [0, 0])[0 if bad else 1] += 1
+    n_bad, n_good = sum(b for _, b in learnt), sum(not b for _, b in learnt)
+    rows = [(x, a, b) for x, (a, b) in counts.items() if a >= 3 and a / n_bad > 4 * b / n_good]
+    want = toxicity.choose(rows, n_bad, n_good)
+    grammar = toxicity.fit(docs, labels)
+    assert want and {k: v for k, v in grammar.patterns.items() if k in want} == want and set(grammar.patterns) == set(want) | {f"{w}$" for w in toxicity.INSULT_SET}
+
+
 def test_the_sample_has_a_bound(spark):
     hot = next(k for k in range(5, 50) if zlib.crc32(str(k).encode()) % 3 != 1)
     docs = spark.createDataFrame([(hot, f"text number {i}") for i in range(500)] + [(k, "same text") for k in range(50, 300)] + [(hot, "same text")] * 400, "doc_id long, text string")
