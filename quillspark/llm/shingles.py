@@ -196,8 +196,8 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
-def _links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): links between nodes that hold and that join all that candidates can join.
+def _groups(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, label): the groups that all links which hold make, of nodes with such a link.
 
     ``texts``: node, text, with repeats; ``nodes``: node, fp, bands, sketch.
     """
@@ -224,7 +224,7 @@ def _links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
         if not pairs.isEmpty():
             tried = tried.unionByName(_checked(pairs, texts))
         elif most > 1:
-            return tried.where("holds").select("a", "b")
+            return labels
         most *= MORE
 
 
@@ -244,7 +244,7 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     signed = materialise(_signed(rows.where("doc_id IS NOT NULL")), "shingle-minima")
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = materialise(nodes, "shingle-nodes")
-    labels = components(_links(rows.select("node", F.coalesce("text", F.lit("")).alias("text")), nodes), "shingle")
+    labels = _groups(rows.select("node", F.coalesce("text", F.lit("")).alias("text")), nodes)
     named = nodes.select("node", "least").join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("root"))
     kept = named.groupBy("root").agg(F.min(F.struct("least", "node")).alias("m")).select(F.col("m.least").alias("doc_id"), F.col("m.node").alias("node"))
     kept = kept.join(signed.select("doc_id", "node"), ["doc_id", "node"]).groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n_rows"))

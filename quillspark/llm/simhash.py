@@ -33,6 +33,8 @@ BUCKET = 512
 MAX_BITS = 3
 SEED = 42
 ROWS = 1 << 17
+#: Links that one task joins.
+ONE_TASK = 1 << 20
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -229,18 +231,48 @@ def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKE
     return linked.unionByName(inner.select("a", "b"))
 
 
-def components(edges: DataFrame, what: str = "simhash") -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label) of all nodes of the links (a, b) of one task."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not parts:
+        return
+    a, b = (np.concatenate(x) for x in zip(*parts))
+    ids, node = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = node[: len(a)], node[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        x, y = label[a], label[b]
+        open_ = x != y
+        if not open_.any():
+            break
+        np.minimum.at(label, np.maximum(x, y)[open_], np.minimum(x, y)[open_])
+        while not np.array_equal(up := label[label], label):
+            label = up
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], ["node", "label"])
+
+
+def _further(labels: DataFrame, up: DataFrame, what: str) -> DataFrame:
+    """Labels followed one round further."""
+    later = up.selectExpr("node AS label", "label AS end")
+    return materialise(labels.join(later, "label", "left").selectExpr("node", "coalesce(end, label) AS label"), f"{what}-labels")
+
+
+def components(edges: DataFrame, what: str = "simhash", one_task: int = ONE_TASK) -> DataFrame:
     """(node, label): the smallest node that each node of ``edges`` (a, b) can reach.
 
     In a round each node points to its smallest neighbour, or to itself where that is larger, and
     pointers are followed to their ends. Then each tree is one node, and the links left between
-    trees make the next, smaller round: it has half of the nodes at most. Each step is written to
-    the shared folder.
+    trees make the next, smaller round: it has half of the nodes at most. ``one_task`` links or
+    fewer, which take some tens of bytes each, are joined in one task. Each step is written to the
+    shared folder.
     """
     pair = ["greatest(a, b) AS a", "least(a, b) AS b"]
     rest = materialise(edges.where("a <> b").selectExpr(*pair).distinct(), f"{what}-edges")
     labels = None
-    while not rest.isEmpty():
+    while n := rest.count():
+        if n <= one_task:
+            up = materialise(rest.repartition(1).mapInArrow(arrow_task(_joined), "node long, label long"), f"{what}-up")
+            return up if labels is None else _further(labels, up, what)
         both = rest.selectExpr("a AS node", "b AS other").union(rest.selectExpr("b AS node", "a AS other"))
         up = materialise(both.groupBy("node").agg(F.min("other").alias("m")).selectExpr("node", "least(node, m) AS label"), f"{what}-up")
         while True:
@@ -255,8 +287,7 @@ def components(edges: DataFrame, what: str = "simhash") -> DataFrame:
         if labels is None:
             labels = up
         else:
-            later = up.selectExpr("node AS label", "label AS end")
-            labels = materialise(labels.join(later, "label", "left").selectExpr("node", "coalesce(end, label) AS label"), f"{what}-labels")
+            labels = _further(labels, up, what)
     return rest.selectExpr("a AS node", "b AS label") if labels is None else labels
 
 
