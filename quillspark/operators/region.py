@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 from quillspark.functions import scalars
 
 REGION_VERSION = "region/1"
+#: What responses say of the label.
+RULE = (
+    "The list begins at its heading and ends where two models of its lines say; an offset before both ends is in the list, one before the later end alone is "
+    "uncertain, and all others are outside of it."
+)
 
 # Fixed values of the model.
 START_LINES, START_DENSITY = 22, 0.70

@@ -7,6 +7,7 @@ stands, and never runs the fuzzy tier.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -62,10 +63,12 @@ def _decorate(rows: DataFrame, docs: DataFrame, doc_key: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
+            # A document's map is made once for all its locations in a batch.
+            prepared = {raw: anchor.Prepared(raw) for raw in batch["raw"].unique()}
             for raw, offset, length, head in zip(batch["raw"], batch["offset_norm"], batch["length_norm"], batch["header_end"]):
-                doc = anchor.Prepared(raw)
-                norm, at = normalise(raw)
-                floor = sum(x < head for x in at)
+                doc = prepared[raw]
+                norm, at = doc.norm, doc.norm_map
+                floor = bisect.bisect_left(at, head)
                 around = markers.counts_around(norm, int(offset), int(length), floor)
                 a, b = markers.sentence_span(norm, int(offset), int(offset + length), min(floor, int(offset))) or (None, None)
                 place = at[int(offset)] if offset < len(at) else None
@@ -101,12 +104,12 @@ def _marker_block() -> Column:
 
 def _region_block() -> Column:
     local = F.struct(F.col("local_block").alias("signal"), F.size("local_signals").alias("signals_found"), F.col("local_signals").alias("signals_named"), F.lit(scalars.BLOCK_CHARS).alias("block_chars"), F.lit(scalars.BLOCK_SIGNALS).alias("signals_required"))
-    return F.struct(F.col("region_status").alias("status"), F.lit(region.REGION_VERSION).alias("region_version"), local.alias("local_block"))
+    return F.struct(F.col("region_status").alias("status"), F.lit(region.REGION_VERSION).alias("region_version"), F.lit(region.RULE).alias("rule"), local.alias("local_block"))
 
 
-def _provenance() -> Column:
+def _provenance(scorer: str = "difflib") -> Column:
     v = anchor.Versions()
-    return F.struct(F.lit(v.normaliser).alias("normaliser"), F.lit(v.verifier).alias("verifier"), F.lit("difflib").alias("scorer"), F.lit(contract.SERVER).alias("server"))
+    return F.struct(F.lit(v.normaliser).alias("normaliser"), F.lit(v.verifier).alias("verifier"), F.lit(scorer).alias("scorer"), F.lit(contract.SERVER).alias("server"))
 
 
 def _outside_header(found: DataFrame, docs: DataFrame, key: str) -> DataFrame:
@@ -118,7 +121,8 @@ def _outside_header(found: DataFrame, docs: DataFrame, key: str) -> DataFrame:
 
     @F.pandas_udf("int")
     def place(raws: pd.Series, offsets: pd.Series) -> pd.Series:
-        return pd.Series([None if raw is None or pd.isna(o) else normalise(raw)[1][int(o)] for raw, o in zip(raws, offsets)], dtype="Int32")
+        maps = {raw: normalise(raw)[1] for raw in raws.dropna().unique()}
+        return pd.Series([None if raw is None or pd.isna(o) else maps[raw][int(o)] for raw, o in zip(raws, offsets)], dtype="Int32")
 
     headed = joined.where("header_end IS NOT NULL AND offset_norm IS NOT NULL").withColumn("__at", place("raw", "offset_norm"))
     headed = headed.withColumn("in_header", F.when(F.col("__at") < F.col("header_end"), 1).otherwise(0)).drop("__at")
@@ -126,7 +130,7 @@ def _outside_header(found: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     return rest.unionByName(headed).drop("header_end", "raw")
 
 
-def verify_quotes(papers: DataFrame, quotes: DataFrame, mode: str = "blocked", corpus: DataFrame | None = None) -> DataFrame:
+def verify_quotes(papers: DataFrame, quotes: DataFrame, mode: str = "blocked", corpus: DataFrame | None = None, scorer: str = "difflib") -> DataFrame:
     """One response per quote.
 
     ``papers``: paper_id, raw. ``quotes``: quote_id, quote, optionally paper_id and t_locate. The
@@ -150,7 +154,9 @@ def verify_quotes(papers: DataFrame, quotes: DataFrame, mode: str = "blocked", c
     known = known.withColumn("early", early)
     known = materialise(known, "asked")
     open_ = known.where("early IS NULL").select("quote_id", "quote", "norm", "match", "t_locate", "paper_id")
-    found = materialise(_outside_header(loc.locate(held, open_, mode), held, "paper_id"), "found")
+    # A quote that stands in a body needs no scores of other documents.
+    identity = lambda found: _outside_header(found, held, "paper_id").where((F.col("in_header") == 0) & F.col("tier").isin(anchor.EXACT, anchor.RELAXED))
+    found = materialise(_outside_header(loc.locate(held, open_, mode, scorer=scorer, settled=identity), held, "paper_id"), "found")
     shown = found.where("in_header = 0")
     ranked = loc.best_with_others(loc.rank(shown))
     hidden = found.where("in_header = 1").groupBy("quote_id").agg(F.array_sort(F.collect_set(F.col("paper_id").cast("string"))).alias("header_hits"))
@@ -191,13 +197,13 @@ def verify_quotes(papers: DataFrame, quotes: DataFrame, mode: str = "blocked", c
         F.when(relocated, F.col("diff")).alias("char_diff"),
         _interval().alias("char_interval"),
         F.when(F.col("early").isNull(), F.col("score")).alias("score"),
-        F.coalesce("scorer", F.lit("difflib")).alias("scorer"),
+        F.coalesce("scorer", F.lit(scorer)).alias("scorer"),
         F.when(is_located, F.col("page")).alias("page"),
         F.when(is_located & F.col("paper_id").isNull(), F.col("also_occurs_in")).alias("also_occurs_in"),
         F.when(is_located, _marker_block()).alias("citation_markers"),
         F.when(is_located, _region_block()).alias("reference_region"),
         reasons.alias("reason"),
-        _provenance().alias("provenance"),
+        _provenance(scorer).alias("provenance"),
         notes.alias("not_available"),
     )
     return contract.validate(out)

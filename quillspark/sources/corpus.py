@@ -7,6 +7,8 @@ with an error is not read at all.
 from __future__ import annotations
 
 import json
+import textwrap
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,7 +116,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     for f in ("title", "venue", "doi", "note", "text_path", "text_sha256"):
         out = out.withColumn(f, F.nullif(scalars.strip(F.col(f)), F.lit("")))
     trimmed = F.filter(F.transform(F.coalesce("authors", F.array().cast("array<string>")), scalars.strip), lambda a: a != "")
-    return out.withColumn("authors", trimmed).withColumn("held", F.coalesce("held", F.lit(False))).orderBy("place").drop("place")
+    return out.withColumn("authors", trimmed).withColumn("held", F.coalesce("held", F.lit(False))).drop("place")
 
 
 def entry_json(papers: DataFrame) -> DataFrame:
@@ -124,11 +126,13 @@ def entry_json(papers: DataFrame) -> DataFrame:
     return papers.select("paper_id", F.when(F.col("note").isNull(), own).otherwise(noted).alias("entry"))
 
 
-def manifest_text(papers: DataFrame, extractor: str) -> str:
-    """The manifest as text: no times, so the same papers give the same bytes. A manifest is one file
-    of one corpus folder; tables of papers beyond that stay tables."""
-    rows = [json.loads(r.entry) for r in entry_json(papers).orderBy("paper_id").collect()]
-    return json.dumps({"manifest_version": MANIFEST_VERSION, "extractor": extractor, "papers": rows}, indent=2, ensure_ascii=False) + "\n"
+def manifest_parts(papers: DataFrame, extractor: str) -> Iterator[str]:
+    """The manifest in parts, an entry each, as the rows come: no times, so the same papers give the same bytes."""
+    yield "{\n" + f'  "manifest_version": {json.dumps(MANIFEST_VERSION)},\n  "extractor": {json.dumps(extractor)},\n  "papers": ['
+    n = 0
+    for n, row in enumerate(entry_json(papers).orderBy("paper_id").toLocalIterator(), 1):
+        yield ("," if n > 1 else "") + "\n" + textwrap.indent(json.dumps(json.loads(row.entry), indent=2, ensure_ascii=False), "    ")
+    yield ("\n  " if n else "") + "]\n}\n"
 
 
 def document_text(pages: Column, fields: dict[str, Column]) -> Column:
