@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import anchor, markers, normalise, register, scalars
 from quillspark.operators import locate as loc
 from quillspark.operators import records, region
-from quillspark.plans import contract, ingest, verify
+from quillspark.plans import contract, ingest, served, verify
 from quillspark.sources import corpus, library
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,8 +160,12 @@ def unique_ids(spark, sf_dir):
 def duplicate_text_ids(spark, sf_dir):
     """Documents of one text, grouped by its hash."""
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    groups = docs.groupBy(F.sha2("text", 256).alias("text_sha256")).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"), F.get(F.sort_array(F.collect_list("doc_id")), F.lit(1)).alias("second_id"))
-    return groups.where("n_copies > 1").select("first_id", "n_copies", "second_id", "text_sha256")
+    hashed = docs.select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+    # The two smallest ids of each text, cut before the shuffle; a text may have any number of copies.
+    nth = F.row_number().over(Window.partitionBy("text_sha256").orderBy("doc_id"))
+    two = hashed.withColumn("nth", nth).where("nth <= 2").groupBy("text_sha256").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("second_id"))
+    sizes = hashed.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n_copies")).where("n_copies > 1")
+    return sizes.join(two, "text_sha256").select("first_id", "n_copies", "second_id", "text_sha256")
 
 
 PAPER_ROWS = f"SELECT 'd' || {ID} AS paper_id, 'Document ' || {ID} AS title, CAST(1990 + doc_id % 30 AS INT) AS year, source || '/' || {ID} || '.pdf' AS pdf_path, source || '/' || {ID} || '.txt' AS text_path, n_chars, text, doc_id FROM {{docs}}"
@@ -332,8 +336,6 @@ def seed_ngrams(spark, sf_dir):
 )
 def rare_seed_topk(spark, sf_dir):
     """K4: the ten rarest word runs of each pair."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("item_id", "doc_id").orderBy("n", "place", "gram")
     return seed_ngrams(spark, sf_dir).withColumn("nth", F.row_number().over(w)).where("nth <= 10").select("item_id", "doc_id", "place", "gram", "nth")
 
@@ -382,12 +384,16 @@ def verify_quote_batch(spark, sf_dir):
 )
 def verify_quote_by_id(spark, sf_dir):
     """Quotes that name their document: unknown, not held, held."""
+    return id_answers(spark, sf_dir).select("quote_id", "outcome", "paper_id", F.col("char_interval.start_pos").alias("start_pos"))
+
+
+def id_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to quotes that name their document, of which some nobody knows and one is blank."""
     rows = table(spark, sf_dir, "benchmark").where("text IS NOT NULL")
     papers_ = rows.select(F.col("item_id").alias("paper_id"), F.expr("'Before it. ' || text || ' After it.'").alias("raw"))
     papers_ = papers_.unionByName(spark.createDataFrame([(-1, "  ")], papers_.schema))
     ids = F.when(F.col("item_id") % 4 == 0, -9).when(F.col("item_id") % 4 == 1, -1).otherwise(F.col("item_id")).cast("long")
-    answers = verify.verify_quotes(papers_, rows.select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"), ids.alias("paper_id")))
-    return answers.select("quote_id", "outcome", "paper_id", F.col("char_interval.start_pos").alias("start_pos"))
+    return verify.verify_quotes(papers_, rows.select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"), ids.alias("paper_id")))
 
 
 @query(
@@ -447,25 +453,23 @@ def find_passage_max_hits(spark, sf_dir):
 
 @query(
     f"""SELECT item_id, doc_id, page FROM (SELECT item_id, doc_id, list_position(list_transform(pages, lambda p: contains(p, t)), true)::INT AS page
-    FROM (SELECT doc_id, string_split(text, {NL}) AS pages, text FROM documents WHERE text IS NOT NULL) JOIN (SELECT item_id, text AS t FROM benchmark WHERE text IS NOT NULL AND NOT contains(text, {NL})) ON contains(text, t))"""
+    FROM (SELECT doc_id, string_split(text, {NL}) AS pages, text FROM documents WHERE text IS NOT NULL) JOIN (SELECT item_id, text AS t FROM benchmark WHERE text IS NOT NULL) ON contains(text, t))"""
 )
 def page_of_span(spark, sf_dir):
-    """The page that holds a span."""
+    """The page that holds a span; none where a span runs over a page's end."""
     docs = documents(spark, sf_dir).select("doc_id", F.col("text").alias("raw"), F.split("text", "\n", -1).alias("pages"))
-    asked = table(spark, sf_dir, "benchmark").where("text IS NOT NULL AND NOT contains(text, chr(10))").select("item_id", F.col("text").alias("norm"))
+    asked = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", F.col("text").alias("norm"))
     pairs = loc.candidates(docs.withColumn("norm", F.col("raw")), asked, "norm", "doc_id", "item_id")
     rows = pairs.join(docs, "doc_id").join(asked.withColumnRenamed("norm", "t"), "item_id")
     return rows.select("item_id", "doc_id", scalars.page_of(F.col("pages"), F.col("t")).alias("page"))
 
 
 @query(
-    f"SELECT doc_id, (len(h) + 1)::INT AS floor_norm FROM (SELECT doc_id, {duck_norm('h')} AS h FROM (SELECT doc_id, {HEAD} AS h FROM documents WHERE doc_id % 2 = 0))"
+    f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN len({duck_norm('h')}) + CASE WHEN {duck_norm('text')} = '' THEN 0 ELSE 1 END ELSE 0 END::INT AS floor_norm FROM (SELECT doc_id, {HEAD} AS h, coalesce(text, '') AS text FROM documents)"
 )
 def body_floor(spark, sf_dir):
     """Where the body begins in the normalised text."""
-    rows = shaped(spark, sf_dir).where("doc_id % 2 = 0").withColumn("head", scalars.header_end(F.col("raw")))
-    # The map of the header alone is enough: the next character is the body's.
-    rows = rows.withColumn("x", normalise.normalise_udf()(F.concat(F.substring("raw", F.lit(1), F.col("head")), F.lit("x"))))
+    rows = shaped(spark, sf_dir).withColumn("head", scalars.header_end(F.col("raw"))).withColumn("x", normalise.normalise_udf()("raw"))
     return rows.select("doc_id", scalars.lower_bound(F.col("x.norm_map"), F.col("head")).alias("floor_norm"))
 
 
@@ -493,7 +497,11 @@ def author_year_strict(spark, sf_dir):
     return spans.select("doc_id", "s.start", "s.stop")
 
 
-@query("SELECT doc_id, 4 AS n_merged, 4::BIGINT AS n_native FROM documents")
+#: Markers of a text in DuckDB: bracketed numbers, and parentheses with a name before a year.
+DUCK_MARKS = r"len(regexp_extract_all(raw, '\[\s*[0-9]{1,3}(?:\s*[,;-]\s*[0-9]{1,3})*\s*\]')) + len(regexp_extract_all(raw, '\([^()]{0,40}\b[A-Z][a-z][^()]{0,30}\b(?:1[5-9]|20)[0-9]{2}[a-z]?\b[^()]{0,20}\)'))"
+
+
+@query(f"SELECT doc_id, ({DUCK_MARKS})::INT AS n_merged, ({DUCK_MARKS})::BIGINT AS n_native FROM {duck(MARKED)}")
 def merged_markers(spark, sf_dir):
     """Both kinds together, overlaps merged, in Python and as an aggregate."""
     rows = shaped(spark, sf_dir, MARKED).withColumn("all", F.concat(markers.bracketed_udf("raw"), markers.author_year_udf("raw"))).withColumn("m", markers.marker_udf("raw"))
@@ -518,11 +526,11 @@ def marker_style(spark, sf_dir):
     return rows.select("doc_id", markers.style_column(markers.count_bracketed(F.col("raw")), F.col("years"), F.col("doc_id") % 8 == 3).alias("style"))
 
 
-@query("SELECT doc_id, 1::BIGINT AS inside, 3::BIGINT AS beside FROM documents")
+@query(f"SELECT doc_id, 1::BIGINT AS inside, ({DUCK_MARKS} - 1)::BIGINT AS beside FROM {duck(MARKED)}")
 def marker_inside_beside(spark, sf_dir):
-    """Markers that overlap a span, and those around it."""
-    rows = shaped(spark, sf_dir, MARKED).withColumn("tail", F.expr("substring(raw, greatest(1, length(raw) - 60 - length(CAST(doc_id % 90 AS STRING))))")).withColumn("s", markers.marker_udf("tail"))
-    at = F.instr("tail", "[3, 4]") - 1
+    """Markers that overlap a span, and the others of the text."""
+    rows = shaped(spark, sf_dir, MARKED).withColumn("s", markers.marker_udf("raw"))
+    at = F.length("raw") - F.instr(F.reverse("raw"), "]4 ,3[") - 5
     inside = markers.overlap_count(F.col("s"), at + 1, at + 3)
     return rows.select("doc_id", inside.alias("inside"), (F.size("s") - inside).alias("beside"))
 
@@ -792,3 +800,101 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = verify.verify_quotes(library_of(spark, sf_dir), asked_items(spark, sf_dir))
     return answers.select("quote_id", "outcome", "paper_id", F.col("char_interval.start_pos").alias("start_pos"), F.col("char_interval.end_pos").alias("end_pos"), "document_text", F.round("score", 6).alias("score"))
 
+
+# Rules that other queries only pass through.
+
+
+@query("SELECT doc_id, k::INT AS nth, w[i + 1] AS first_word, w[i + 4] AS last_word FROM (SELECT doc_id, w, unnest(range(0, least(256, greatest(0, len(w) - 3)))) AS k, CASE WHEN len(w) - 3 > 256 THEN k * (len(w) - 3) // 256 ELSE k END AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+') AS w FROM documents))")
+def seed_sampling(spark, sf_dir):
+    """The word runs of a long needle, evenly thinned."""
+
+    @F.pandas_udf("array<struct<nth:int,first_word:string,last_word:string>>")
+    def seeds(texts):
+        import re
+
+        return texts.map(lambda t: [(k, *[re.findall("[A-Za-z0-9]+", g)[i] for i in (0, -1)]) for k, g in enumerate(anchor.seed_table(t, 4)[1])])
+
+    return documents(spark, sf_dir).select("doc_id", F.explode(seeds("text")).alias("s")).select("doc_id", "s.*")
+
+
+@query("SELECT doc_id, sha256(lower(coalesce(text, '')) || 'İstanbul ß') AS low_sha256 FROM documents")
+def lower_in_place(spark, sf_dir):
+    """Lower case that keeps each character's place."""
+    low = F.pandas_udf(lambda texts: texts.map(anchor.lower_in_place), "string")
+    return documents(spark, sf_dir).select("doc_id", F.sha2(low(F.concat("text", F.lit("İstanbul ß"))), 256).alias("low_sha256"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(source || '   part ' || doc_id, '\\s+', ' ', 'g')) AS value FROM documents")
+def header_values(spark, sf_dir):
+    """Header values on one line."""
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.clean_value(F.concat(F.lit(" "), F.col("source"), F.lit("  \n part "), F.col("doc_id").cast("string"), F.lit("\t"))).alias("value"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS is_sha FROM documents")
+def sha256_shape(spark, sf_dir):
+    """What is a SHA-256 in lower-case hex, and what only looks like one."""
+    h = F.sha2(F.col("doc_id").cast("string"), 256)
+    value = F.when(F.col("doc_id") % 4 == 0, h).when(F.col("doc_id") % 4 == 1, F.concat(h, F.lit("\n"))).when(F.col("doc_id") % 4 == 2, F.substring(h, 1, 63)).otherwise(F.concat(F.lit("G"), F.substring(h, 2, 63)))
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.is_sha256(value).cast("int").alias("is_sha"))
+
+
+@query(f"SELECT paper_id, held::INT AS held FROM {DUCK_PAPERS}")
+def held_papers(spark, sf_dir):
+    """papers that are held and those that are not."""
+    rows = papers(spark, sf_dir)
+    return rows.where("held").select("paper_id", F.lit(1).alias("held")).unionByName(rows.where("NOT held").select("paper_id", F.lit(0).alias("held")))
+
+
+@query("SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'ANCHOR_NOT_LOCATABLE' ELSE 'ANCHOR_LOCATED' END AS tier FROM benchmark WHERE text IS NOT NULL")
+def relocation_threshold(spark, sf_dir):
+    """The same differing quote, under a threshold it reaches and one it doesn't."""
+    register.register(spark)
+    lost = "array_join(concat(slice(split(text, ' '), 1, 4), slice(split(text, ' '), 6, 1000)), ' ')"
+    docs = loc.prepare(table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", F.col("text").alias("raw")), "item_id", "raw")
+    quotes = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select(F.col("item_id").alias("quote_id"), "item_id", F.expr(lost).alias("quote"), F.when(F.col("item_id") % 2 == 0, 0.9999).otherwise(0.55).alias("t_locate"))
+    return loc.locate(docs, loc.prepare(quotes, "quote_id", "quote"), mode="exact", doc_key="item_id").select("item_id", "tier")
+
+
+@query("SELECT item_id AS quote_id, CASE WHEN item_id % 2 = 0 THEN 'NOT_LOCATABLE' ELSE 'VERBATIM_EXACT' END AS outcome, CASE WHEN item_id % 2 = 0 THEN 'header_location' END AS note FROM benchmark WHERE text IS NOT NULL")
+def header_hits(spark, sf_dir):
+    """A location in a document's header is an absence, one in its body a location."""
+    rows = table(spark, sf_dir, "benchmark").where("text IS NOT NULL")
+    raw = f"CASE WHEN item_id % 2 = 0 THEN 'Title: ' || {{t}} || {NL} || '{scalars.SENTINEL}' || {NL} || {FF} || 'Quite other words stand here.' ELSE '{scalars.SENTINEL}' || {NL} || {FF} || {{t}} || ' and more.' END".format(t=f"replace(text, {NL}, ' ')")
+    asked = rows.select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"), F.col("item_id").alias("paper_id"))
+    answers = verify.verify_quotes(rows.select(F.col("item_id").alias("paper_id"), F.expr(raw).alias("raw")), asked)
+    return answers.select("quote_id", "outcome", F.expr("get(filter(not_available, x -> x.field = 'header_location'), 0).field").alias("note"))
+
+
+@query("SELECT item_id AS quote_id, 'CORPUS_UNAVAILABLE' AS outcome, 'corpus' AS field FROM benchmark WHERE text IS NOT NULL")
+def corpus_unavailable(spark, sf_dir):
+    """A corpus that can't be read has its own outcome."""
+    answers = served.verify_quotes(spark, asked_items(spark, sf_dir), root="/no/such/folder")
+    return answers.select("quote_id", "outcome", F.expr("get(not_available, 0).field").alias("field"))
+
+
+@query("SELECT item_id AS quote_id, CASE WHEN item_id % 4 = 0 THEN 'SOURCE_UNKNOWN' WHEN item_id % 4 = 1 THEN 'SOURCE_NOT_HELD' ELSE 'VERBATIM_EXACT' END AS outcome, 1 AS has_null FROM benchmark WHERE text IS NOT NULL")
+def response_json(spark, sf_dir):
+    """Responses as JSON, nulls kept."""
+    answers = contract.as_json(id_answers(spark, sf_dir))
+    return answers.select("quote_id", F.get_json_object("response", "$.outcome").alias("outcome"), F.col("response").rlike('"char_diff":null').cast("int").alias("has_null"))
+
+
+@query(f"SELECT action, count(*)::BIGINT AS n FROM ({SQL['library_sync_plan']}) GROUP BY action")
+def library_sync_counts(spark, sf_dir):
+    """How many files a mirror makes, keeps and removes."""
+    return QUERIES["library_sync_plan"](spark, sf_dir).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, 0::BIGINT AS violations FROM documents")
+def match_map_holds(spark, sf_dir):
+    """Each character of the match form is the fold of the one its map names."""
+
+    @F.pandas_udf("bigint")
+    def wrong(texts):
+        def of(t):
+            form, at = normalise.match_form_with_map(t)
+            return sum(t[i].casefold()[:1] != c and c not in t[i].casefold() for c, i in zip(form, at) if t[i] not in "`\u00b4" and not t[i].isspace()) + (len(form) != len(at)) + sum(b < a for a, b in zip(at, at[1:]))
+
+        return texts.map(of)
+
+    return shaped(spark, sf_dir, ROUGH).select("doc_id", wrong("raw").alias("violations"))

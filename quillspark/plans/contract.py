@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import textwrap
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -112,3 +113,28 @@ def validate(responses: DataFrame) -> DataFrame:
     checked = faults(responses)
     message = F.concat(F.lit("a response breaks the contract: "), F.array_join("faults", ", "))
     return checked.withColumn("outcome", F.when(F.size("faults") > 0, F.raise_error(message)).otherwise(F.col("outcome"))).drop("faults")
+
+
+def as_json(responses: DataFrame, key: str = "quote_id") -> DataFrame:
+    """(key, response): responses as JSON texts, nulls kept."""
+    fields = [c for c in responses.columns if c != key]
+    return responses.select(key, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("response"))
+
+
+def write_json(responses: DataFrame, path: str, key: str = "quote_id") -> None:
+    """Responses as a folder of JSON lines; a folder that is there already is an error."""
+    responses.select(F.to_json(F.struct(key, F.struct(*[c for c in responses.columns if c != key]).alias("response")), {"ignoreNullFields": "false"})).write.mode("errorifexists").text(path)
+
+
+def unavailable(asked: DataFrame, reason: str, detail: str | None, key: str = "quote_id") -> DataFrame:
+    """One response per row of ``asked`` (key) that says that no corpus could be read."""
+    interval = F.lit(None).cast("struct<start_pos:int,end_pos:int,basis:string>")
+    provenance = F.struct(*[F.lit("not used" if k != "server" else SERVER).alias(k) for k in PROVENANCE])
+    note = F.struct(F.lit("corpus").alias("field"), F.lit(reason).alias("reason"), F.lit(detail).cast("string").alias("detail"))
+    out = asked.select(key, F.lit(OUTCOMES[6]).alias("outcome"), F.lit(NOTICE).alias("interpretation_notice"), interval.alias("char_interval"), F.lit(reason).alias("reason"), provenance.alias("provenance"), F.array(note).alias("not_available"))
+    return validate(out)
+
+
+def wrapped(text: str, width: int = 79) -> str:
+    """A paragraph in lines of at most ``width`` characters."""
+    return textwrap.fill(" ".join(text.split()), width)

@@ -74,7 +74,7 @@ def index_plan(files: DataFrame, prior: DataFrame, floor: int = scalars.CHARS_PE
     held = status.isin("WRITTEN", "UNCHANGED")
     found = rows.select(
         "paper_id",
-        *[F.col(f"prior.{c}").alias(c) for c in CARRIED],
+        *[(F.coalesce("prior.authors", F.array().cast("array<string>")) if c == "authors" else F.col(f"prior.{c}")).alias(c) for c in CARRIED],
         F.col("path").alias("pdf_path"),
         F.when(held | (status == "REFUSED"), F.col("text_path")).alias("text_path"),
         F.col("sha256").alias("pdf_sha256"),

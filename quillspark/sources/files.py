@@ -9,9 +9,10 @@ import subprocess
 import tempfile
 from collections.abc import Iterator
 from pathlib import Path
+from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Flags that lose the reading order.
@@ -27,13 +28,43 @@ class ExtractError(RuntimeError):
     """A PDF gave no pages."""
 
 
+def relative(path: Column, root: str) -> Column:
+    """A file's path within ``root``."""
+    return F.split_part(path, F.lit(root.rstrip("/") + "/"), F.lit(-1))
+
+
+def binary(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """(path, relative, content): files below ``root`` by their names, hidden parts left out."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    return rows.select("path", relative(F.col("path"), root).alias("relative"), "content").where(~F.col("relative").rlike(r"(^|/)\."))
+
+
+def scan(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """(path, relative, sha256) of files below ``root``."""
+    return binary(spark, root, glob).select("path", "relative", F.sha2("content", 256).alias("sha256"))
+
+
 def scan_pdfs(spark: SparkSession, root: str) -> DataFrame:
-    """(path, relative, sha256): the PDF files below ``root``, hidden parts left out, in order of path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][dD][fF]").load(root)
-    prefix = F.lit(root.rstrip("/") + "/")
-    relative = F.split_part("path", prefix, F.lit(-1))
-    rows = files.select("path", relative.alias("relative"), F.sha2("content", 256).alias("sha256"))
-    return rows.where(~F.col("relative").rlike(r"(^|/)\.")).orderBy("path")
+    """(path, relative, sha256): the PDF files below ``root``, hidden parts left out."""
+    return scan(spark, root, "*.[pP][dD][fF]")
+
+
+def inside_udf(root: str):
+    """Paths to whether their files lie below ``root``; see ``inside``."""
+
+    @F.pandas_udf("boolean")
+    def run(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: inside(root, local_path(p)))
+
+    return run
+
+
+def extract_scanned(spark: SparkSession, root: str, extract=None) -> DataFrame:
+    """(path, sha256, pages, error) of the PDFs below ``root`` that lie there, by their path within it."""
+    rows = binary(spark, root, "*.[pP][dD][fF]").where(inside_udf(root)("path"))
+    found = extract_texts(rows, extract or extract_pages)
+    hashes = rows.select("path", "relative", F.sha2("content", 256).alias("sha256"))
+    return hashes.join(found, "path").select(F.col("relative").alias("path"), "sha256", "pages", "error")
 
 
 def scan_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -88,6 +119,11 @@ def extract_texts(pdfs: DataFrame, extract=extract_pages) -> DataFrame:
     return pdfs.select("path", "content").mapInPandas(run, "path string, pages array<string>, error string")
 
 
+def local_path(path: str) -> str:
+    """A path as Spark names it on the local file system, without its scheme."""
+    return unquote(path[5:]).replace("//", "/") if path.startswith("file:") else path
+
+
 def inside(root: str | os.PathLike, path: str | os.PathLike) -> bool:
     """Whether a file lies below ``root`` once links are followed, and has no second name."""
     try:
