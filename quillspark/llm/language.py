@@ -40,7 +40,7 @@ UNKNOWN = "und"
 FOREIGN = 6.5
 #: Words from which on more words no longer raise the score, and its steepness.
 CERTAIN_WORDS, STEEPNESS = 24, 1.0
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 12 << 20
 
 _WORD = re.compile(r"[^\W\d_]+")
 

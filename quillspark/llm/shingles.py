@@ -134,8 +134,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(most: int):
-    """The task that finds, for each node of a bucket, its best candidates (a, b, alike) in other groups:
-    ``most`` of them, or one among the bucket's hubs where that is 1. Rows: key, node, label, failed, sketch."""
+    """The task that finds, for each node of a bucket, its best candidates (key, a, b, alike) in other groups:
+    ``most`` of them, or one among the bucket's hubs where that is 1. Rows: key, node, label, failed, sketch.
+    A bucket with more nodes than hubs has a row without candidates, so that it is not thought done."""
 
     def best(node: np.ndarray, label: np.ndarray, sketches: np.ndarray, tried: set[tuple[int, int]], hubs: np.ndarray) -> Iterator[tuple[int, int, float]]:
         step = max(1, (1 << 20) // max(1, len(hubs)))
@@ -156,17 +157,18 @@ def _candidates(most: int):
         for key, node, label, failed, tails in _runs(batches, 1, ROWS):
             sketches = np.frombuffer(b"".join(tails), np.uint8).reshape(len(key), -1)
             cut = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
-            found: set[tuple[int, int, float]] = set()
+            found: list[tuple[int, int | None, int | None, float | None]] = []
             for x, y in zip(cut, cut[1:]):
                 if (label[x:y] == label[x]).all():
                     continue
                 tried = {(min(int(n), int(o)), max(int(n), int(o))) for n, f in zip(node[x:y], failed[x:y]) if f is not None for o in f}
                 k = y - x
-                hubs = np.unique(np.linspace(0, k - 1, HUBS).astype(np.int64)) if most == 1 and k > HUBS else np.arange(k)
-                found |= set(best(node[x:y], label[x:y], sketches[x:y], tried, hubs))
+                some = most == 1 and bool(k > HUBS)
+                hubs = np.unique(np.linspace(0, k - 1, HUBS).astype(np.int64)) if some else np.arange(k)
+                found += [(int(key[x]), *f) for f in set(best(node[x:y], label[x:y], sketches[x:y], tried, hubs))] + [(int(key[x]), None, None, None)] * some
             if found:
-                a, b, alike = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(alike, pa.float64())], ["a", "b", "alike"])
+                keys, a, b, alike = zip(*found)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (keys, a, b)), pa.array(alike, pa.float64())], ["key", "a", "b", "alike"])
 
     return run
 
@@ -215,10 +217,13 @@ def _groups(texts: DataFrame, nodes: DataFrame) -> DataFrame:
         rows = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         # Buckets that are one group have nothing left to join, and their sketches stay where they are.
         apart = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        rows = materialise(rows.join(apart, "key", "left_semi"), "shingle-apart")
-        rows = rows.join(failed, "node", "left").join(sketches, "node").select("key", "node", "label", "failed", "sketch")
-        found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(arrow_task(_candidates(most)), "a long, b long, alike double")
-        found = found.groupBy("a", "b").agg(F.max("alike").alias("alike"))
+        buckets = materialise(rows.join(apart, "key", "left_semi").select("key", "node", "label"), "shingle-apart")
+        rows = buckets.join(failed, "node", "left").join(sketches, "node").select("key", "node", "label", "failed", "sketch")
+        found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(arrow_task(_candidates(most)), "key long, a long, b long, alike double")
+        found = materialise(found, "shingle-candidates")
+        # A bucket without a candidate never gets one: groups only grow, and tried pairs stay tried.
+        buckets = buckets.join(found.select("key").distinct(), "key", "left_semi").select("key", "node")
+        found = found.where("a IS NOT NULL").groupBy("a", "b").agg(F.max("alike").alias("alike"))
         nth = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("alike"), "a"))
         pairs = materialise(found.withColumn("nth", nth).where(F.col("nth") <= most).select("a", "b"), "shingle-pairs")
         if not pairs.isEmpty():
