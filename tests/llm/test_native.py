@@ -360,7 +360,7 @@ def test_names_inside_an_article():
 def test_near_copies_of_an_article_stay_whole():
     part = [f"paragraph {k} of the article that stands on many pages under several names" for k in range(4)]
     pages = ["<article>" + "".join(f"<p>{p}{' changed' * (k == i)}</p>" for k, p in enumerate(part)) + "</article>" for i in range(5)]
-    assert html.main_texts(pages) == ["\n".join(p + " changed" * (k == i) for k, p in enumerate(part)) for i in range(5)]
+    assert html.main_texts(pages, articles=True) == ["\n".join(p + " changed" * (k == i) for k, p in enumerate(part)) for i in range(5)]
 
 
 def test_copies_of_a_page_are_one_page():
@@ -377,9 +377,11 @@ def test_the_arrays_decide_over_the_whole_host(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     want = {i: f"own words of page {i} {i * 7} that no other has at all" for i in range(60)} | {100 + i: f"{SHARED}\n{i}" for i in range(2)} | {200 + i: f"news number {i} of a day on which much was said by many" for i in range(3)}
     for parts, run in ((1, 1 << 20), (7, 1), (3, 100)):
-        assert {r.page_id: r.text for r in html.extract(df.repartition(parts), run_tokens=run).collect()} == want
+        assert {r.page_id: r.text for r in html.extract(df.repartition(parts), run_tokens=run, articles=True).collect()} == want
     without = {r.page_id: r.text for r in html.extract(df, least=1 << 30).collect()}
     assert all(without[i] != want[i] for i in (*range(60), *range(200, 203)))
+    # As registered: unmarked blocks go, articles stay whole.
+    assert {r.page_id: r.text for r in html.extract(df).collect()} == {i: (f"{notice}\n" if i >= 200 else "") + t for i, t in want.items()}
 
 
 def test_hosts_against_main_texts(spark):
@@ -389,9 +391,10 @@ def test_hosts_against_main_texts(spark):
     parts = [" ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(9)) for _ in range(rng.randrange(2, 30))) for _ in range(12)]
     pages = ["".join(rng.choice(["<div>{}</div>", "<article><p>{}</p></article>", "<p>{}</p>", '<div class="legal-notes">{}</div>']).format(rng.choice(parts) if rng.random() < 0.5 else f"own {k} {rng.random()} words") for _ in range(5)) for k in range(40)]
     df = spark.createDataFrame([(k, f"http://h{k % 2}/", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
-    got = {r.page_id: r.text for r in html.extract(df, run_tokens=50).collect()}
-    for h in (0, 1):
-        assert [got[k] for k in range(h, 40, 2)] == html.main_texts(pages[h::2])
+    for articles in (False, True):
+        got = {r.page_id: r.text for r in html.extract(df, run_tokens=50, articles=articles).collect()}
+        for h in (0, 1):
+            assert [got[k] for k in range(h, 40, 2)] == html.main_texts(pages[h::2], articles=articles)
 
 
 def test_boilerplate_without_markup():
@@ -405,14 +408,17 @@ def test_boilerplate_beside_and_inside_main():
     own = "what happened on that day in the town where nobody had ever seen it before was news"
     menu = "<div>this block of words is on every page of the host and says nothing</div>"
     pages = [f"{menu}<article><p>short {i}</p><p>{own} {i}</p>{notice}</article><div>a long unmarked story {i} {i * 7} that no other page of it has</div>" for i in range(4)]
-    assert html.main_texts(pages) == [f"short {i}\n{own} {i}\na long unmarked story {i} {i * 7} that no other page of it has" for i in range(4)]
+    inside = html.main_texts(pages, articles=True)
+    assert inside == [x.replace("\nsubscribe to this host and never miss one of its many stories", "") for x in html.main_texts(pages)]
+    assert inside == [f"short {i}\n{own} {i}\na long unmarked story {i} {i * 7} that no other page of it has" for i in range(4)]
     # An article that other pages repeat as a whole stays.
     article = "the very same article stands here under several addresses of one host"
-    assert html.main_texts([f"<div>{i}</div><article>{article}</article>" for i in range(4)]) == [f"{i}\n{article}" for i in range(4)]
+    assert html.main_texts([f"<div>{i}</div><article>{article}</article>" for i in range(4)], articles=True) == [f"{i}\n{article}" for i in range(4)]
 
 
-def test_extract(spark, small):
-    pages = spark.read.parquet(f"{small}/pages.parquet")
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_extract(spark, sf):
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
     got = {r.page_id: r for r in html.extract(pages).collect()}
     for r in pages.collect():
         inner = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S).group(1)
