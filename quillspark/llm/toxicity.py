@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import arrow_task, bound_batches, held_out, materialise, pick
@@ -316,18 +316,23 @@ def _sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame | No
         return None
     take = {True: min(n_toxic, max_rows // 2)}
     take[False] = min(n_clean, max_rows - take[True])
-    is_toxic = F.col("toxic") == 1
-    most = F.when(is_toxic, take[True]).otherwise(take[False])
 
-    def first(rows: DataFrame, by: str) -> DataFrame:
-        nth = F.row_number().over(Window.partitionBy("toxic").orderBy(by))
-        return rows.withColumn("nth", nth).where(F.col("nth") <= max_rows).where(F.col("nth") <= most).drop("nth")
+    def first(rows: DataFrame, sizes: dict[int, int]) -> DataFrame:
+        """The first hashes of each class, as many as are taken; of large classes twice as many, in expectation, are put in order."""
+        parts = []
+        for toxic, n in sizes.items():
+            own = rows.where(F.col("toxic") == toxic).where(F.pmod("h", F.lit(1_000_003)) < min(1.0, 2 * take[bool(toxic)] / max(1, n)) * 1_000_003)
+            parts.append(own.orderBy("h").limit(take[bool(toxic)]))
+        return parts[0].unionByName(parts[1])
 
     # The sample has a bound, so it may be sent to every executor and the texts stay in place. An id
     # may have many rows, so their hashes are chosen before any text moves.
-    marks = materialise(first(marks.select("doc_id", F.when(is_toxic, 1).otherwise(0).alias("toxic"), F.xxhash64("doc_id").alias("h")), "h").drop("h"), "toxicity-ids")
+    marks = marks.select("doc_id", F.when(F.col("toxic") == 1, 1).otherwise(0).alias("toxic"), F.xxhash64("doc_id").alias("h"))
+    marks = materialise(first(marks, {1: n_toxic, 0: n_clean}).drop("h"), "toxicity-ids")
     rows = pick(docs, "doc_id", "text").where("text IS NOT NULL").join(F.broadcast(marks), "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), "text", "toxic")
-    chosen = materialise(first(rows.select("h", "toxic").distinct(), "h"), "toxicity-rows")
+    hashes = materialise(rows.select("h", "toxic").distinct(), "toxicity-hashes")
+    sizes = {0: 0, 1: 0} | {r[0]: r[1] for r in hashes.groupBy("toxic").count().collect()}
+    chosen = materialise(first(hashes, sizes), "toxicity-rows")
     sample = rows.join(F.broadcast(chosen.select("h")), "h").groupBy("h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
     return materialise(sample.select("text", "toxic"), "toxicity-sample")
 
