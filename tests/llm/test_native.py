@@ -416,6 +416,41 @@ def test_boilerplate_beside_and_inside_main():
     assert html.main_texts([f"<div>{i}</div><article>{article}</article>" for i in range(4)], articles=True) == [f"{i}\n{article}" for i in range(4)]
 
 
+def test_the_arrays_decide_on_articles_as_registered(spark):
+    import random
+
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    page = lambda *parts: "<article>" + "".join(f"<p>{p}</p>" for p in parts) + "</article>"
+    notice, refrain, few = words(10), words(9), words(12)
+    own = [words(40) for _ in range(40)]
+    # A notice that all articles of a host have goes; a line on half of them is theirs; so is one on seven pages, of whatever host.
+    pages = [(i, "http://h/", page(own[i], *[refrain] * (i < 10), notice)) for i in range(20)] + [(20 + i, "http://small/", page(own[20 + i], few)) for i in range(7)]
+    want = {i: "\n".join([own[i]] + [refrain] * (i < 10)) for i in range(20)} | {20 + i: f"{own[20 + i]}\n{few}" for i in range(7)}
+    # Near copies stay whole, also when their changed blocks are most of them.
+    title, body = words(8), words(60).split()
+    changed = [" ".join([f"changed{i}" if k == 5 * i else w for k, w in enumerate(body)]) for i in range(12)]
+    pages += [(100 + i, "http://copies/", page(title, changed[i])) for i in range(12)]
+    want |= {100 + i: f"{title}\n{changed[i]}" for i in range(12)}
+    # Pages without such blocks count for their host too, copies of one only once.
+    pages += [(200 + i, "http://half/", page(own[i], notice)) for i in range(8)] + [(300 + i, "http://half/", f"<article>{i % 8}</article>") for i in range(16)]
+    want |= {200 + i: f"{own[i]}\n{notice}" for i in range(8)} | {300 + i: str(i % 8) for i in range(16)}
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for parts, run in ((1, 1 << 20), (5, 100)):
+        assert {r.page_id: r.text for r in html.extract(df.repartition(parts), run_tokens=run).collect()} == want
+    for host in {u for _, u, _ in pages}:
+        ours = [(i, p) for i, u, p in pages if u == host]
+        assert html.main_texts([p for _, p in ours]) == [want[i] for i, _ in ours]
+
+
+def test_the_arrays_hold_every_page(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet").withColumn("row", F.col("page_id")).withColumn("host", F.col("url"))
+    found = html._substrings(pages, html.RUN_TOKENS)
+    long = {r.page_id for r in pages.collect() if any(k == html.MAIN_TEXT and len(t.split(" ")) >= html.DEPTH for k, t in html.blocks_of(r.html))}
+    assert {r.row for r in found.where("block >= 0 and host is not null").collect()} == long and len(long) > 40
+    assert found.where(F.col("block") == html.OF_HOST).count() == pages.count()
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
 def test_extract(spark, sf):
     pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
