@@ -25,7 +25,7 @@ without hits. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -217,8 +217,13 @@ def _blocks(items: DataFrame, block_words: int) -> list[DataFrame]:
     return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
-def _spans(docs: DataFrame, phrases: Phrases, shard_words: int, carry: list[str]) -> DataFrame:
-    """The carried columns with n_words, starts, ends (merged word spans) and item ids as text."""
+#: What is made of the batches of ``_spans``, and its schema.
+Then = tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str]
+
+
+def _spans(docs: DataFrame, phrases: Phrases, shard_words: int, carry: list[str], then: Then | None = None) -> DataFrame:
+    """The carried columns with n_words, starts, ends (merged word spans) and item ids as text; or
+    what ``then`` makes of them in the same worker, as a second step would take a second worker."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(phrases)
     text_at = docs.columns.index("text")
@@ -254,15 +259,17 @@ def _spans(docs: DataFrame, phrases: Phrases, shard_words: int, carry: list[str]
         if docs:
             yield from finish(kept, docs)
 
+    if then:
+        return docs.mapInArrow(arrow_task(lambda batches: then[0](run(batches))), then[1])
     fields = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in carry)
     return docs.mapInArrow(arrow_task(run), f"{fields}, n_words long, starts array<long>, ends array<long>, items array<string>")
 
 
-def _spans_of_all(docs: DataFrame, items: DataFrame, carry: list[str], window: int, shard_words: int, block_words: int) -> DataFrame:
+def _spans_of_all(docs: DataFrame, items: DataFrame, carry: list[str], window: int, shard_words: int, block_words: int, then: Then | None = None) -> DataFrame:
     items = pick(items, "item_id", "text").where(F.col("text").isNotNull())
     blocks = _blocks(items, block_words)
     if len(blocks) == 1:
-        return _spans(docs, Phrases([tuple(r) for r in blocks[0].collect()], window), shard_words, carry)
+        return _spans(docs, Phrases([tuple(r) for r in blocks[0].collect()], window), shard_words, carry, then)
     # Rows alike in what is carried and in the text have the same hits; others never share a key.
     row = F.struct(F.xxhash64(*carry, "text"), F.hash("text", *carry), F.length("text"))
     keyed = docs.withColumn("__row", row)
@@ -279,7 +286,8 @@ def _spans_of_all(docs: DataFrame, items: DataFrame, carry: list[str], window: i
     more = more.groupBy("__row").agg(*[F.flatten(F.collect_list(c)).alias(f"__{c}") for c in ("starts", "ends", "items")])
     joined = first.join(more, "__row", "left")
     whole = lambda c, kind: F.concat(c, F.coalesce(f"__{c}", F.array().cast(f"array<{kind}>")))
-    return joined.select(*carry, "n_words", whole("starts", "long").alias("starts"), whole("ends", "long").alias("ends"), F.array_distinct(whole("items", "string")).alias("items"))
+    found = joined.select(*carry, "n_words", whole("starts", "long").alias("starts"), whole("ends", "long").alias("ends"), F.array_distinct(whole("items", "string")).alias("items"))
+    return found.mapInArrow(arrow_task(then[0]), then[1]) if then else found
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -319,7 +327,6 @@ def cut_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_wor
     own = docs.toDF(*names)
     frame = own.withColumnRenamed(at, "text")
     carry = [c for c in frame.columns]
-    found = _spans_of_all(frame, items, carry, window, shard_words, block_words)
     place = carry.index("text")
     word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -341,7 +348,7 @@ def cut_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_wor
             yield pa.RecordBatch.from_arrays(cols, carry)
 
     fields = ", ".join(f"`{c}` {t}" for c, t in frame.dtypes)
-    out = found.mapInArrow(arrow_task(run), fields).toDF(*names)
+    out = _spans_of_all(frame, items, carry, window, shard_words, block_words, (run, fields)).toDF(*names)
     if "n_chars" in lower:
         n = names[place_of(docs, "n_chars")]
         out = out.withColumn(n, F.when(F.col(at).isNull() | F.col(n).isNull(), F.col(n)).otherwise(F.length(at)).cast(dict(own.dtypes)[n]))

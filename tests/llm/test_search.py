@@ -101,6 +101,18 @@ def test_cut_spans(spark, odd_docs):
     assert all(by[i].text == was[i] for i in by if i not in (1, 2))
 
 
+def test_cut_spans_in_one_worker(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string")
+    items = spark.createDataFrame(ITEMS, "item_id int, text string")
+    out = fmindex.cut_spans(docs, items)
+    # Each Python step of a task holds a worker of its own, and idle ones stay.
+    assert out._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1
+    rows = sorted(map(str, out.collect()))
+    assert len(rows) == len(TEXTS) and any("text='x y'" in r for r in rows)
+    for shard, block in ((5, 4_000_000), (7, 4)):
+        assert sorted(map(str, fmindex.cut_spans(docs, items, shard_words=shard, block_words=block).collect())) == rows
+
+
 def plain_top(rows, k=5, every=50):
     v = {}
     for i, e in rows:
