@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import fmindex, html, language, licences, merkle, packing, pseudonyms, simhash, toxicity, vafile
+from quillspark.llm import fmindex, html, language, licences, merkle, packing, patterns, pseudonyms, simhash, toxicity, vafile
 from quillspark.llm.common import read_table
 
 #: The setting that names the secret of pseudonyms (Spark hides settings of that name), and what stands for it in tests.
@@ -73,6 +73,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.pack(read_table(spark, sf_dir, "documents"), vocabulary())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_language_id, op2_licence_scan, op3_merkle_audit, op4_simhash, op5_pseudonyms, op6_vafile, op7_main_text, op8_packing, op9_decontamination, op10_toxicity, pipeline]
+    ops = [op1_language_id, op2_licence_scan, op3_merkle_audit, op4_simhash, op5_pseudonyms, op6_vafile, op7_main_text, op8_packing, op9_decontamination, op10_toxicity, op11_pattern_packing, pipeline]
     return {f.__name__: f for f in ops}
 
 
