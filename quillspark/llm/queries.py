@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import fmindex, html, language, licences, merkle, packing, patterns, pseudonyms, simhash, toxicity, turns, vafile
+from quillspark.llm import fmindex, html, language, licences, merkle, packing, patterns, pseudonyms, simhash, toxicity, turns, vafile, yinyang
 from quillspark.llm.common import read_table
 
 #: The setting that names the secret of pseudonyms (Spark hides settings of that name), and what stands for it in tests.
@@ -77,6 +77,10 @@ def op11_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.pack(read_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.compress(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.report(turns.damaged(read_table(spark, sf_dir, "conversations")), F.col("kept"))
 
@@ -88,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_language_id, op2_licence_scan, op3_merkle_audit, op4_simhash, op5_pseudonyms, op6_vafile, op7_main_text, op8_packing, op9_decontamination, op10_toxicity, op11_pattern_packing, op13_conversation_repair, pipeline]
+    ops = [op1_language_id, op2_licence_scan, op3_merkle_audit, op4_simhash, op5_pseudonyms, op6_vafile, op7_main_text, op8_packing, op9_decontamination, op10_toxicity, op11_pattern_packing, op12_vector_codes, op13_conversation_repair, pipeline]
     return {f.__name__: f for f in ops}
 
 
@@ -137,4 +141,4 @@ FROM docs LEFT JOIN words USING (r) LEFT JOIN named USING (r)"""
 def oracle_sql() -> dict[str, str]:
     """Language models, hashes of 64 bits, keyed permutations, page markup and tokenizers have no
     SQL; their queries are tested against brute force in tests/llm."""
-    return {"op2_licence_scan": licences.sql(), "op3_merkle_audit": _MERKLE, "op6_vafile": _TOP, "op9_decontamination": _LEAKS, "op13_conversation_repair": turns.sql()}
+    return {"op2_licence_scan": licences.sql(), "op3_merkle_audit": _MERKLE, "op6_vafile": _TOP, "op9_decontamination": _LEAKS, "op12_vector_codes": yinyang.sql(), "op13_conversation_repair": turns.sql()}
