@@ -337,6 +337,17 @@ def _sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame | No
     return materialise(sample.select("text", "toxic"), "toxicity-sample")
 
 
+def stem_counts(sample: DataFrame) -> DataFrame:
+    """(term, a, b): in how many toxic and other rows (text, toxic) a word or stem stands. It counts once
+    in a row, however many of its words are there."""
+    # The words that the machine reads, apostrophes inside of them included.
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+(?:'\p{L}+)?"), F.lit(0)))
+    stems = ", ".join(f"CASE WHEN length(w) > {n} THEN substring(w, 1, {n}) END" for n in STEMS)
+    terms = F.expr(f"array_compact(array_distinct(flatten(transform(filter(words, w -> length(w) >= 3), w -> array(concat(w, '$'), {stems})))))")
+    one = sample.select("toxic", words.alias("words")).select("toxic", F.explode(terms).alias("term"))
+    return one.groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") != 1).alias("b"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Grammar:
     """The grammar learnt from rows that are not held out; see the module's text for the bound."""
     bound_batches(docs.sparkSession)
@@ -345,15 +356,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Grammar
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return Grammar()
-    # The words that the machine reads, apostrophes inside of them included.
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+(?:'\p{L}+)?"), F.lit(0)))
-    stems = ", ".join(f"CASE WHEN length(w) > {n} THEN substring(w, 1, {n}) END" for n in STEMS)
-    one = sample.select("toxic", F.explode(words).alias("w"), F.monotonically_increasing_id().alias("row")).where("length(w) >= 3")
-    terms = one.select("toxic", "row", F.explode(F.expr(f"array(concat(w, '$'), {stems})")).alias("term")).where("term IS NOT NULL")
-    # A stem counts once in a document, however many of its words are there.
-    counts = (
-        terms.groupBy("term", "row", "toxic").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") != 1).alias("b"))
-    )
+    counts = stem_counts(sample)
     counts = materialise(counts.where("a >= 3").where(F.col("a") / n_toxic > 4 * F.col("b") / n_clean), "toxicity-terms")
     # What no test could keep stays where it is: the ratio is at most that of no clean document.
     least = 2 * math.log((n_toxic + n_clean) / n_toxic)

@@ -172,7 +172,7 @@ def test_toxicity_against_plain_reading(spark, small):
 
 
 def test_patterns_against_plain_counts(spark):
-    toxic = [f"they are zorgling number {i} and blarg" for i in range(40)]
+    toxic = [f"they are zorgling zorglish zorgles number {i} and blarg" for i in range(40)]
     clean = [f"a calm day number {i} by the river" for i in range(200)]
     texts = list(enumerate(toxic + clean))
     docs = spark.createDataFrame(texts, "doc_id long, text string")
@@ -190,6 +190,13 @@ def test_patterns_against_plain_counts(spark):
     assert want and {k: v for k, v in grammar.patterns.items() if k in want} == want and set(grammar.patterns) == set(want) | {f"{w}$" for w in toxicity.INSULT_SET}
 
 
+def test_stems_count_once_in_a_text(spark):
+    texts = [(" ".join(f"grumble{c}" for c in "abcdefgh"), 1)] * 29 + [("grumbles grumbling calmly", 0)] * 7 + [("", 0), (None, 0)]
+    counts = {r.term: (r.a, r.b) for r in toxicity.stem_counts(spark.createDataFrame(texts, "text string, toxic int")).collect()}
+    assert counts["grum"] == counts["grumbl"] == (29, 7) and counts["grumblea$"] == (29, 0) and counts["calmly$"] == (0, 7)
+    assert all(a <= 29 and b <= 9 for a, b in counts.values())
+
+
 def test_the_sample_has_a_bound(spark):
     hot = next(k for k in range(5, 50) if zlib.crc32(str(k).encode()) % 3 != 1)
     docs = spark.createDataFrame([(hot, f"text number {i}") for i in range(500)] + [(k, "same text") for k in range(50, 300)] + [(hot, "same text")] * 400, "doc_id long, text string")
