@@ -457,11 +457,13 @@ WITH RECURSIVE named AS (
   SELECT conv_id, turn, CASE WHEN x = 4 THEN 'user' ELSE role END AS role, CASE x WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS said
   FROM cases, range(CASE x WHEN 3 THEN 2 ELSE 1 END) WHERE x <> 0
 ), placed AS (
-  SELECT *, left(role, 1) AS i, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, said) AS n, row_number() OVER (PARTITION BY conv_id, role, said ORDER BY turn NULLS FIRST) AS nth FROM hurt
+  SELECT *, left(role, 1) AS i, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, said) AS n FROM hurt
+), counted_out AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, said ORDER BY n) AS nth FROM placed
 ), judged AS (
   SELECT *, CASE WHEN NOT regexp_matches(said, '[^ 	-
 ]') THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN NOT regexp_matches(said, '[.!?]{space}*$') THEN 'truncated' ELSE '' END AS fault,
-    lag(i) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM placed
+    lag(i) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM counted_out
 ), counted AS (
   SELECT conv_id, max(n) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
     count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id
