@@ -16,6 +16,7 @@ from quillspark.operators import locate as loc
 from quillspark.operators import records, region
 from quillspark.plans import contract, ingest, served, verify
 from quillspark.sources import corpus, library
+from quillspark.sources.tables import materialise, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -251,8 +252,10 @@ def match_form_native(spark, sf_dir):
 # The ladder.
 
 
-def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return loc.prepare(documents(spark, sf_dir).select("doc_id", F.col("text").alias("raw")), "doc_id", "raw")
+def prepared(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The documents with these forms (norm and match, or one of them), as a written table."""
+    docs = spread(documents(spark, sf_dir).select("doc_id", F.col("text").alias("raw")))
+    return materialise(loc.prepare(docs, "doc_id", "raw").select("doc_id", "raw", *(columns or ("norm", "match"))), "prepared")
 
 
 def items(spark: SparkSession, sf_dir: str, expr: str = "text") -> DataFrame:
@@ -328,7 +331,7 @@ GRAMS = "SELECT item_id, unnest(range(0, greatest(len(w) - 3, 0)))::INT AS place
 @query(f"SELECT item_id, doc_id, place, gram, ((len(lower(n)) - len(replace(lower(n), gram, ''))) // len(gram))::BIGINT AS n FROM ({GRAMS}) JOIN {DUCK_NORMS} ON contains(lower(n), gram)")
 def seed_ngrams(spark, sf_dir):
     """Word runs of quotes and how often documents hold them."""
-    return loc.seed_counts(prepared(spark, sf_dir), items(spark, sf_dir).withColumn("quote_norm", F.col("norm")), 4, "doc_id", "item_id")
+    return loc.seed_counts(prepared(spark, sf_dir, "norm"), items(spark, sf_dir).withColumn("quote_norm", F.col("norm")), 4, "doc_id", "item_id")
 
 
 @query(
@@ -343,7 +346,7 @@ def rare_seed_topk(spark, sf_dir):
 @query(f"SELECT item_id, doc_id FROM {DUCK_NORMS} JOIN {DUCK_ITEMS} ON contains(n, q)")
 def blocking_candidates(spark, sf_dir):
     """Pairs by one inner word; blocking loses none."""
-    return loc.candidates(prepared(spark, sf_dir), items(spark, sf_dir), "norm", "doc_id", "item_id").select("item_id", "doc_id")
+    return loc.candidates(prepared(spark, sf_dir, "norm"), items(spark, sf_dir), "norm", "doc_id", "item_id").select("item_id", "doc_id")
 
 
 DUCK_EXACT = f"(SELECT item_id, doc_id, (strpos(n, q) - 1)::INT AS a, (strpos(n, q) - 1 + len(q))::INT AS b FROM {DUCK_NORMS} JOIN {DUCK_ITEMS} ON contains(n, q))"
@@ -783,14 +786,14 @@ def verify_conversations(spark, sf_dir):
     """J1 at scale: what assistants say, looked up in all documents."""
     talk = table(spark, sf_dir, "conversations").where("role = 'assistant' AND text IS NOT NULL").select(F.struct("conv_id", "turn").alias("key"), "text")
     said = loc.prepare(talk, "key", "text").where("length(norm) >= 12")
-    pairs = loc.candidates(prepared(spark, sf_dir), said, "norm", "doc_id", "key")
+    pairs = loc.candidates(prepared(spark, sf_dir, "norm"), said, "norm", "doc_id", "key")
     return pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc")).select("key.conv_id", "key.turn", "n_docs", "first_doc")
 
 
 @query(f"SELECT q.doc_id AS of_doc, count(*)::BIGINT AS n_docs FROM (SELECT doc_id, string_split(n, '.')[1] AS s FROM {DUCK_NORMS}) q JOIN {DUCK_NORMS} d ON contains(d.n, q.s) WHERE len(q.s) >= 30 GROUP BY q.doc_id")
 def dedup_first_sentences(spark, sf_dir):
     """J1 at scale: every document's first sentence, looked up in all documents."""
-    docs = prepared(spark, sf_dir)
+    docs = prepared(spark, sf_dir, "norm")
     first = docs.select(F.col("doc_id").alias("of_doc"), F.element_at(F.split("norm", r"\."), 1).alias("norm")).where("length(norm) >= 30")
     return loc.candidates(docs, first, "norm", "doc_id", "of_doc").groupBy("of_doc").agg(F.count(F.lit(1)).alias("n_docs"))
 

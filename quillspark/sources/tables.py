@@ -48,6 +48,13 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, where a table has fewer pieces than that; a
+    larger table stays as it is read."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 @contextlib.contextmanager
 def scratch() -> Iterator[None]:
     """Tables that ``materialise`` writes within are removed at the end, when the result is written too."""
