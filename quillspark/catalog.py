@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import anchor, markers, normalise, register, scalars
 from quillspark.operators import locate as loc
-from quillspark.operators import records, region
+from quillspark.operators import intervals, postings, records, region
 from quillspark.plans import contract, ingest, served, verify
 from quillspark.sources import corpus, library
 from quillspark.sources.tables import materialise, spread
@@ -145,16 +145,22 @@ def paper_id_from_source(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", name.alias("paper_id"), scalars.is_safe_id(name).cast("int").alias("safe"))
 
 
+#: Names of which some are others with a number, and names that are taken from the start.
+NAME = "'p' || CAST(doc_id % 97 AS STRING) || CASE doc_id % 5 WHEN 0 THEN '-' || CAST(2 + doc_id % 3 AS STRING) WHEN 1 THEN '-2-' || CAST(2 + doc_id % 2 AS STRING) ELSE '' END"
+TAKEN = "'p' || CAST(doc_id % 97 AS STRING) || CASE WHEN doc_id % 2 = 0 THEN '-' || CAST(2 + doc_id % 4 AS STRING) ELSE '' END"
+
+
 @query(
-    """WITH taken AS (SELECT DISTINCT 'p' || doc_id % 7 AS n FROM documents WHERE doc_id % 3 = 0),
-    f AS (SELECT doc_id, 'p' || doc_id % 11 AS c, row_number() OVER (PARTITION BY doc_id % 11 ORDER BY doc_id) AS nth FROM documents)
-    SELECT doc_id, CASE WHEN k = 1 THEN c ELSE c || '-' || k END AS paper_id FROM (SELECT doc_id, c, nth + CASE WHEN c IN (SELECT n FROM taken) THEN 1 ELSE 0 END AS k FROM f)"""
+    f"""WITH RECURSIVE files AS (SELECT doc_id, doc_id % 97 AS b, {NAME} AS c, row_number() OVER (PARTITION BY doc_id % 97 ORDER BY doc_id) AS r FROM documents),
+    walk AS (SELECT b, 0::BIGINT AS r, NULL::BIGINT AS doc_id, NULL::VARCHAR AS name, coalesce((SELECT list({TAKEN}) FROM documents d WHERE d.doc_id % 31 = 3 AND d.doc_id % 97 = b), []) AS used FROM (SELECT DISTINCT b FROM files)
+      UNION ALL SELECT b, r, doc_id, name, list_append(used, name) FROM (SELECT w.b, f.r, f.doc_id, w.used, CASE WHEN list_contains(w.used, f.c) THEN f.c || '-' || list_filter(range(2, len(w.used) + 3), lambda k: NOT list_contains(w.used, f.c || '-' || k))[1] ELSE f.c END AS name FROM walk w JOIN files f ON f.b = w.b AND f.r = w.r + 1))
+    SELECT doc_id, name AS paper_id FROM walk WHERE r > 0"""
 )
 def unique_ids(spark, sf_dir):
-    """candidates that meet get numbers, names that are taken are passed over."""
+    """files take free names in order; candidates may be others with a number, and names may be taken."""
     docs = table(spark, sf_dir, "documents")
-    taken = docs.where("doc_id % 3 = 0").select(F.expr("'p' || CAST(doc_id % 7 AS STRING)").alias("paper_id"))
-    return corpus.unique_ids(docs.select("doc_id", F.expr("'p' || CAST(doc_id % 11 AS STRING)").alias("candidate")), taken, order="doc_id").select("doc_id", "paper_id")
+    taken = docs.where("doc_id % 31 = 3").select(F.expr(TAKEN).alias("paper_id"))
+    return corpus.unique_ids(docs.select("doc_id", F.expr(NAME).alias("candidate")), taken, order="doc_id").select("doc_id", "paper_id")
 
 
 @query("SELECT min(doc_id) AS first_id, count(*)::BIGINT AS n_copies, list_sort(list(doc_id))[2] AS second_id, sha256(text) AS text_sha256 FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1")
@@ -349,6 +355,22 @@ def blocking_candidates(spark, sf_dir):
     return loc.candidates(prepared(spark, sf_dir, "norm"), items(spark, sf_dir), "norm", "doc_id", "item_id").select("item_id", "doc_id")
 
 
+DUCK_WORDS = f"(SELECT doc_id, unnest(string_split(n, ' ')) AS word, unnest(range(0, len(string_split(n, ' ')))) AS place FROM {DUCK_NORMS})"
+
+
+@query(f"SELECT word, count(DISTINCT doc_id)::BIGINT AS n_docs, count(*)::BIGINT AS n_places FROM {DUCK_WORDS} GROUP BY word")
+def word_frequencies(spark, sf_dir):
+    """The words of all documents, with the documents and places that have them, from the word index."""
+    return postings.build(prepared(spark, sf_dir, "norm"), "norm", "doc_id").frequencies()
+
+
+@query(f"SELECT doc_id, item_id FROM {DUCK_NORMS} JOIN (SELECT item_id, array_to_string(list_slice(string_split(q, ' '), -2, -1), ' ') AS s FROM {DUCK_ITEMS}) ON contains(n, s)")
+def short_strings(spark, sf_dir):
+    """Strings without an inner word, each item's last two words, in all documents."""
+    last = items(spark, sf_dir).select("item_id", F.expr("array_join(slice(split(norm, ' '), -least(2, size(split(norm, ' '))), 2), ' ')").alias("norm"))
+    return postings.search(postings.build(prepared(spark, sf_dir, "norm"), "norm", "doc_id"), last, "norm", "item_id")
+
+
 DUCK_EXACT = f"(SELECT item_id, doc_id, (strpos(n, q) - 1)::INT AS a, (strpos(n, q) - 1 + len(q))::INT AS b FROM {DUCK_NORMS} JOIN {DUCK_ITEMS} ON contains(n, q))"
 
 
@@ -579,6 +601,43 @@ def line_features(spark, sf_dir):
     return paper_lines(spark, sf_dir).select("doc_id", "line_no", "start_char", "features")
 
 
+DUCK_STARTS = f"(SELECT doc_id, line_no, start_char, start_char + len(line) AS stop_char, features FROM {DUCK_FEATURES})"
+
+
+@query(f"SELECT p.doc_id, p.at, l.line_no, (p.at - l.start_char)::INT AS in_line FROM (SELECT doc_id, unnest(range(-3, len(raw) + 40, 41))::INT AS at FROM {duck(PAPER)}) p ASOF LEFT JOIN {DUCK_STARTS} l ON p.doc_id = l.doc_id AND p.at >= l.start_char")
+def offset_lines(spark, sf_dir):
+    """The line that each of many offsets of a text lies in."""
+    points = shaped(spark, sf_dir, PAPER).select("doc_id", F.explode(F.expr("sequence(-3, -3 + 41 * ((length(raw) + 42) div 41), 41)")).alias("at"))
+    found = intervals.as_of(points, paper_lines(spark, sf_dir), "doc_id", "at", "start_char", "line_no")
+    return found.select("doc_id", "at", "line_no", (F.col("at") - F.col("start_char")).cast("int").alias("in_line"))
+
+
+#: Spans around lines with features; the more features, the further they reach, so many overlap and some only touch.
+SPAN = ("start_char - 20 * features", "start_char + line_chars + 1 + 25 * (features - 1)")
+DUCK_SPANS = "(SELECT doc_id, row_number() OVER (ORDER BY doc_id, line_no) AS i, (start_char - 20 * features)::BIGINT AS start, (stop_char + 1 + 25 * (features - 1))::BIGINT AS stop FROM " + DUCK_STARTS + " WHERE features > 0 AND stop_char + 1 + 25 * (features - 1) > start_char - 20 * features)"
+
+
+def feature_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = paper_lines(spark, sf_dir).where("features > 0").withColumn("line_chars", F.length("line"))
+    return lines.select("doc_id", F.expr(SPAN[0]).cast("long").alias("start"), F.expr(SPAN[1]).cast("long").alias("stop")).where("start < stop")
+
+
+@query(
+    f"""WITH s AS {DUCK_SPANS}, heads AS (SELECT doc_id, i, start FROM s WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.doc_id = s.doc_id AND (t.start, t.stop, t.i) < (s.start, s.stop, s.i) AND t.stop > s.start))
+    SELECT doc_id, h AS start, max(stop)::BIGINT AS stop, count(*)::BIGINT AS n FROM (SELECT s.doc_id, s.stop, (SELECT max(heads.start) FROM heads WHERE heads.doc_id = s.doc_id AND heads.start <= s.start) AS h FROM s) GROUP BY doc_id, h"""
+)
+def merged_spans(spark, sf_dir):
+    """Spans of a text that overlap become one; those that touch stay apart."""
+    return intervals.merge(feature_spans(spark, sf_dir), "doc_id")
+
+
+@query(f"SELECT p.doc_id, p.line_no, (SELECT count(*) FROM {DUCK_SPANS} s WHERE s.doc_id = p.doc_id AND s.start < p.stop_char AND s.stop > p.start_char)::BIGINT AS n FROM {DUCK_STARTS} p")
+def span_overlaps(spark, sf_dir):
+    """How many spans share characters with each line of a text."""
+    lines = paper_lines(spark, sf_dir).select("doc_id", "line_no", F.col("start_char").alias("start"), (F.col("start_char") + F.length("line")).alias("stop"))
+    return intervals.overlaps(feature_spans(spark, sf_dir), lines, "doc_id").select("doc_id", "line_no", "n")
+
+
 @query(f"SELECT doc_id, line_no, CASE WHEN {_TABLE} THEN 1 ELSE 0 END AS is_row FROM {DUCK_LINES} WHERE NOT {_BLANK}")
 def table_rows(spark, sf_dir):
     """Lines that look like rows of a table."""
@@ -781,11 +840,11 @@ def contract_violations(spark, sf_dir):
     return contract.faults(rows).select("event_id", F.array_join("faults", ",").alias("faults"))
 
 
-@query(f"SELECT conv_id, turn, count(doc_id)::BIGINT AS n_docs, min(doc_id) AS first_doc FROM (SELECT conv_id, turn, {duck_norm('text')} AS q FROM conversations WHERE role = 'assistant' AND text IS NOT NULL) JOIN {DUCK_NORMS} ON contains(n, q) WHERE len(q) >= 12 GROUP BY conv_id, turn")
+@query(f"SELECT conv_id, turn, count(doc_id)::BIGINT AS n_docs, min(doc_id) AS first_doc FROM (SELECT conv_id, turn, array_to_string(string_split({duck_norm('text')}, ' ')[1:2], ' ') AS q FROM conversations WHERE role = 'assistant' AND text IS NOT NULL) JOIN {DUCK_NORMS} ON contains(n, q) WHERE len(q) >= 6 GROUP BY conv_id, turn")
 def verify_conversations(spark, sf_dir):
-    """J1 at scale: what assistants say, looked up in all documents."""
+    """J1 at scale: the words that assistants begin with, looked up in all documents."""
     talk = table(spark, sf_dir, "conversations").where("role = 'assistant' AND text IS NOT NULL").select(F.struct("conv_id", "turn").alias("key"), "text")
-    said = loc.prepare(talk, "key", "text").where("length(norm) >= 12")
+    said = loc.prepare(talk, "key", "text").withColumn("norm", F.expr("array_join(slice(split(norm, ' '), 1, 2), ' ')")).where("length(norm) >= 6")
     pairs = loc.candidates(prepared(spark, sf_dir, "norm"), said, "norm", "doc_id", "key")
     return pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc")).select("key.conv_id", "key.turn", "n_docs", "first_doc")
 

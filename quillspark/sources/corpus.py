@@ -10,11 +10,14 @@ import json
 import textwrap
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions import scalars
+from quillspark.operators import intervals
+from quillspark.sources.tables import materialise
 
 MANIFEST_VERSION = "1"
 
@@ -170,25 +173,68 @@ def stale(papers: DataFrame, files: DataFrame) -> DataFrame:
     return rows.select("paper_id", F.explode(reasons).alias("reason"))
 
 
+#: A name that an earlier one may get by its number.
+_NUMBERED = r"^(.+)-([2-9]|[1-9][0-9]{1,17})$"
+
+
+def _passed_over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(parent, k, skipped, nth): which contested numbers of a candidate its files pass over. Rows by parent and k:
+    parent, bare (1 where its first file has the plain name), k, gone, before (files of the parent before the
+    first file whose own candidate is that name)."""
+    parent, skipped = None, 0
+    for rows in batches:
+        out = []
+        for name, bare, k, gone, before in rows.itertuples(index=False, name=None):
+            if name != parent:
+                parent, skipped = name, 0
+            # So many files need a number before the name's own file comes, and so many numbers lie before k.
+            skip = bool(gone) or k - 2 - skipped >= max(0, before - bare)
+            out.append((name, k, skip, skipped))
+            skipped += skip
+        yield pd.DataFrame(out, columns=["parent", "k", "skipped", "nth"])
+
+
 def unique_ids(files: DataFrame, taken: DataFrame, candidate: str = "candidate", order: str = "path") -> DataFrame:
-    """``files`` with paper_id: the candidate, or with -2, -3.. the first number that is free.
+    """``files`` with paper_id: the candidate, or with -2, -3.. the first number that is free when the file's turn comes.
+
+    Files take their names in ``order``; a name may be taken from the start, or by a file before, be it
+    as its candidate or by a number. Two candidates can only meet in a name where one is the other with a
+    number, and then only the first file of the longer one asks for it. So candidates are settled from
+    the shortest names up, in as many rounds as numbers follow each other in a name; in a round each
+    candidate reads its contested numbers in order, and all its files get theirs by their rank.
 
-    A candidate's n-th file gets its n-th free name. Names that are taken are counted by number, so
-    no loop over files is needed.
+    Of files alike in ``order`` that of the shorter candidate comes first. A null candidate is a name like others
+    and gets no number.
     """
-    from pyspark.sql import Window
-
-    free = taken.select(F.col("paper_id").alias("name")).distinct()
-    # A candidate that is itself a suffixed name of another is kept out of that one's numbers.
-    others = files.select(F.col(candidate).alias("name")).distinct().where(F.col("name").rlike(r"-[0-9]+\z"))
-    used = free.unionByName(others).distinct()
-    numbered = files.withColumn("__nth", F.row_number().over(Window.partitionBy(candidate).orderBy(order)))
-    most = numbered.groupBy(candidate).agg(F.max("__nth").alias("__n"))
-    gone = used.select(F.regexp_replace("name", r"-[0-9]+\z", "").alias(candidate), F.coalesce(F.nullif(F.regexp_extract("name", r"-([0-9]+)\z", 1), F.lit("")).cast("int"), F.lit(1)).alias("number"), F.lit(1).alias("gone"))
-    plain = free.select(F.col("name").alias(candidate), F.lit(1).alias("number"), F.lit(1).alias("gone"))
-    gone = gone.unionByName(plain).distinct()
-    count = gone.groupBy(candidate).agg(F.count(F.lit(1)).alias("__gone"))
-    slots = most.join(count, candidate, "left").select(candidate, F.explode(F.sequence(F.lit(1), F.col("__n") + F.coalesce("__gone", F.lit(0)).cast("int") + 1)).alias("number"))
-    slots = slots.join(gone, [candidate, "number"], "left_anti").withColumn("__nth", F.row_number().over(Window.partitionBy(candidate).orderBy("number")))
-    name = F.when(F.col("number") == 1, F.col(candidate)).otherwise(F.concat(F.col(candidate), F.lit("-"), F.col("number").cast("string")))
-    return numbered.join(slots, [candidate, "__nth"]).withColumn("paper_id", name).drop("__nth", "number")
+    rows = materialise(intervals.numbered(files, candidate, order, "__nth"), "ids-numbered")
+    gone = taken.select(F.col("paper_id").alias("name"), F.lit(1).alias("gone")).where("name IS NOT NULL").distinct()
+    own = rows.where(F.col(candidate).isNotNull()).groupBy(F.col(candidate).alias("name")).agg(F.min(order).alias("first"))
+    names = own.join(gone, "name", "full").select("name", "first", F.coalesce("gone", F.lit(0)).alias("gone"))
+    names = names.withColumn("parent", F.nullif(F.regexp_extract("name", _NUMBERED, 1), F.lit(""))).withColumn("k", F.expr(f"try_cast(nullif(regexp_extract(name, r'{_NUMBERED}', 2), '') AS BIGINT)"))
+    parents = own.select(F.col("name").alias("parent"), F.lit(1).alias("held"))
+    names = materialise(names.join(parents, "parent", "left"), "ids-names")
+    settled = names.where("first IS NOT NULL AND held IS NULL").select("name", (1 - F.col("gone")).alias("bare"))
+    contested = names.where("held IS NOT NULL")
+    skipped = None
+    if not contested.isEmpty():
+        starts = rows.select(F.col(candidate).alias("parent"), F.col(order).alias("at"), "__nth")
+        asked = contested.select("name", "parent", "k", "gone", "first")
+        asked = materialise(intervals.as_of(asked, starts, "parent", "first", "at", "__nth").withColumn("before", F.coalesce("__nth", F.lit(0))), "ids-contested")
+        settled = fresh = materialise(settled, "ids-settled")
+        while not fresh.isEmpty():
+            open_ = asked.join(fresh.select(F.col("name").alias("parent"), "bare"), "parent").select("parent", "bare", "k", "gone", "before")
+            found = open_.repartition("parent").sortWithinPartitions("parent", "k").mapInPandas(_passed_over, "parent string, k long, skipped boolean, nth long")
+            found = materialise(found, "ids-passed-over")
+            fresh = asked.where("first IS NOT NULL").join(found, ["parent", "k"]).select("name", F.when(F.col("skipped") & (F.col("gone") == 0), 1).otherwise(0).alias("bare"))
+            fresh = materialise(fresh, "ids-settled")
+            settled = settled.unionByName(fresh)
+            # A number n that the i-th name passed over lies behind is reached by the (n - 1 - i)-th file.
+            passed = found.where("skipped").select(F.col("parent").alias("name"), (F.col("k") - 1 - F.col("nth")).alias("from"), (F.col("nth") + 1).alias("passed"))
+            skipped = passed if skipped is None else skipped.unionByName(passed)
+    out = rows.join(settled, rows[candidate] == settled["name"], "left").withColumn("__j", (F.col("__nth") - F.coalesce("bare", F.lit(1))).cast("long")).drop("name", "bare", "__nth")
+    if skipped is None:
+        out = out.withColumn("passed", F.lit(0))
+    else:
+        out = intervals.as_of(out, skipped.withColumnRenamed("name", candidate), candidate, "__j", "from", "passed").drop("from")
+    number = F.col("__j") + 1 + F.coalesce("passed", F.lit(0))
+    return out.withColumn("paper_id", F.when(F.col("__j") == 0, F.col(candidate)).otherwise(F.concat(F.col(candidate), F.lit("-"), number.cast("string")))).drop("__j", "passed")

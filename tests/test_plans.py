@@ -1,6 +1,7 @@
 """Ladder plans, records, manifests, ingest, files, the library source, SQL functions, streams."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,11 +149,34 @@ def test_stale(spark):
     assert sorted(tuple(r) for r in corpus.stale(papers, now).collect()) == [("a", "PDF_CHANGED"), ("a", "TEXT_CHANGED"), ("b", "TEXT_NOT_RECORDED"), ("c", "TEXT_UNEXPECTED"), ("d", "PDF_MISSING")]
 
 
-def test_unique_ids(spark):
-    rows = spark.createDataFrame([("1", "x"), ("2", "x"), ("3", "x"), ("4", "x-2"), ("5", "y")], "path string, candidate string")
-    taken = spark.createDataFrame([("x",), ("x-4",)], "paper_id string")
-    got = [r.paper_id for r in corpus.unique_ids(rows, taken).orderBy("path").collect()]
-    assert len(set(got)) == 5 and got[0] == "x-3" and "x" not in got and "x-4" not in got and got[4] == "y"
+def one_after_another(candidates, taken):
+    """Ids as files take them, one after another."""
+    used, out = set(taken), []
+    for c in candidates:
+        k, name = 2, c
+        while name in used:
+            name, k = f"{c}-{k}", k + 1
+        used.add(name)
+        out.append(name)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_unique_ids(spark, seed):
+    rng = random.Random(seed)
+    names = ["x", "x", "x", "x-2", "x-3", "x-2-2", "x-2-2-2", "x-02", "x-1", "x-12", "y", "y-2", "-2", "z-2-3"]
+    candidates = [rng.choice(names[: 6 if seed == 0 else None]) for _ in range(120)]
+    taken = ["x-4", "x-2-3", "q", "y"] if seed else []
+    rows = spark.createDataFrame([(f"{i:04}", c) for i, c in enumerate(candidates)], "path string, candidate string").repartition(3)
+    got = corpus.unique_ids(rows, spark.createDataFrame([(t,) for t in taken], "paper_id string")).orderBy("path").collect()
+    assert [r.paper_id for r in got] == one_after_another(candidates, taken) and [r.candidate for r in got] == candidates
+
+
+def test_numbers_of_numbers(spark):
+    rows = spark.createDataFrame([("1", "x"), ("2", "x"), ("3", "x-2")], "path string, candidate string")
+    none = spark.createDataFrame([], "paper_id string")
+    assert [r.paper_id for r in corpus.unique_ids(rows, none).orderBy("path").collect()] == ["x", "x-2", "x-2-2"]
+    assert corpus.unique_ids(rows.limit(0), none).collect() == []
 
 
 def test_index(spark):
