@@ -6,6 +6,7 @@ it like papers: the same SQL expressions make that text in Spark and in DuckDB.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,9 +15,9 @@ from pyspark.sql import functions as F
 from quillspark.functions import anchor, markers, normalise, register, scalars
 from quillspark.operators import locate as loc
 from quillspark.operators import intervals, postings, records, region
-from quillspark.plans import contract, ingest, served, verify
+from quillspark.plans import contract, ingest, served, store, verify
 from quillspark.sources import corpus, library
-from quillspark.sources.tables import materialise, spread
+from quillspark.sources.tables import checkpoint_dir, materialise, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -857,6 +858,17 @@ def dedup_first_sentences(spark, sf_dir):
     return loc.candidates(docs, first, "norm", "doc_id", "of_doc").groupBy("of_doc").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
+@query(f"SELECT doc_id, sha256(n) AS norm_sha256, (count(*) OVER (PARTITION BY raw))::BIGINT AS n_copies FROM (SELECT doc_id, raw, {duck_norm('raw')} AS n FROM {duck('text')})")
+def prepared_by_content(spark, sf_dir):
+    """Documents prepared in two calls over one store; the second prepares no text that the first has."""
+    docs = documents(spark, sf_dir).select("doc_id", F.col("text").alias("raw"))
+    kept = store.Store(spark, f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}")
+    kept.prepare(docs.where("doc_id % 3 <> 0"), "doc_id")
+    forms = kept.prepare(docs, "doc_id").select("doc_id", F.sha2("norm", 256).alias("norm_sha256"), F.sha2("raw", 256).alias("sha"))
+    copies = forms.groupBy("sha").agg(F.count(F.lit(1)).alias("n_copies"))
+    return forms.join(copies, "sha").select("doc_id", "norm_sha256", "n_copies")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as quotes against all documents: the outcome, document and place of each."""
     answers = verify.verify_quotes(library_of(spark, sf_dir), asked_items(spark, sf_dir))

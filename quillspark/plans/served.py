@@ -14,7 +14,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.plans import contract, job, verify
+from quillspark.plans import contract, job, store, verify
 from quillspark.sources import corpus, files
 from quillspark.sources.tables import materialise
 
@@ -72,12 +72,18 @@ def _noted(answers: DataFrame, opened: Opened) -> DataFrame:
     return contract.validate(answers.withColumn("not_available", notes))
 
 
+def _prepared(spark: SparkSession, opened: Opened) -> DataFrame | None:
+    """The corpus from the store that is set, so a second call over a folder prepares only what has changed."""
+    folder = spark.conf.get(store.SETTING, None)
+    return store.Store(spark, folder).prepare(opened.papers) if folder else None
+
+
 def verify_quotes(spark: SparkSession, quotes: DataFrame, root: str | None = None, mode: str = "blocked") -> DataFrame:
     """Whether quotes stand in the documents of a folder; see ``plans.verify``."""
     opened = open_corpus(spark, root)
     if isinstance(opened, NotOpened):
         return contract.unavailable(quotes, opened.reason, opened.detail)
-    return _noted(verify.verify_quotes(opened.papers, quotes, mode), opened)
+    return _noted(verify.verify_quotes(opened.papers, quotes, mode, _prepared(spark, opened)), opened)
 
 
 def find_passages(spark: SparkSession, queries: DataFrame, root: str | None = None, max_hits: int | None = None) -> DataFrame:
@@ -85,7 +91,7 @@ def find_passages(spark: SparkSession, queries: DataFrame, root: str | None = No
     opened = open_corpus(spark, root)
     if isinstance(opened, NotOpened):
         return contract.unavailable(queries, opened.reason, opened.detail)
-    return _noted(verify.find_passages(opened.papers, queries, max_hits), opened)
+    return _noted(verify.find_passages(opened.papers, queries, max_hits, _prepared(spark, opened)), opened)
 
 
 @dataclass(frozen=True)
