@@ -1,7 +1,8 @@
 """Documents to packed training sequences in five stages.
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and its result is
-written as Parquet before the next reads it; what a stage wrote in between is removed then.
+written as Parquet before the next reads it; what a stage wrote in between is removed then, and its
+input too once its own result is there.
 
 An empty table passes every stage and gives no pieces. Columns beside those of ``documents`` are
 passed on up to the last stage, whatever their names.
@@ -14,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import fmindex, language, packing, pseudonyms, shingles
-from quillspark.llm.common import checkpoint_dir, read_table
+from quillspark.llm.common import checkpoint_dir, drop_table, read_table
 from quillspark.llm.queries import pseudonym_key, vocabulary
 from quillspark.sources.tables import scratch
 
@@ -59,11 +60,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         with scratch():
             out = stage(spark, docs, sf_dir)
             out.write.parquet(f"{folder}/{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
+        docs, done = spark.read.schema(out.schema).parquet(f"{folder}/{name}"), before
+        before = docs
+        if done is not None:
+            drop_table(done)
     return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +11,16 @@ from pyspark.sql import functions as F
 from quillspark.llm import fmindex, html, language, licences, merkle, packing, patterns, pseudonyms, simhash, toxicity, turns, vafile, yinyang
 from quillspark.llm.common import read_table
 
-#: The setting that names the secret of pseudonyms (Spark hides settings of that name), and what stands for it in tests.
-SECRET, DEMONSTRATION = "spark.quillspark.pseudonyms.secret", "demonstration key"
+#: The setting that names the secret of pseudonyms; Spark hides settings of that name.
+SECRET = "spark.quillspark.pseudonyms.secret"
 
 
 def pseudonym_key(spark: SparkSession) -> str:
-    return spark.conf.get(SECRET, DEMONSTRATION)
+    """The secret that is set; without one the session draws its own, so its pseudonyms agree with each
+    other and with those of no other session."""
+    if not spark.conf.get(SECRET, ""):
+        spark.conf.set(SECRET, secrets.token_hex(32))
+    return spark.conf.get(SECRET)
 
 
 def vocabulary() -> str:

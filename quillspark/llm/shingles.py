@@ -10,7 +10,8 @@ can tell apart: at a similarity of 0.8 a bit differs with a probability of 0.15,
 texts that are still apart also meet by ``BANDS`` keys over ``WIDTH`` minima of the set each; a pair
 of similarity 0.8 shares none in four cases of ten thousand. A sketch of ``BINS`` bins, with the
 least hash of each, estimates the similarity of those that meet, and pairs below ``ESTIMATE`` are left
-out: at 0.8 the estimate of a long text is 0.025 off in the mean, and that of a short one hardly.
+out: at 0.8 the estimate of a long text is off by 0.025 in the mean, so it falls four times as far for
+three pairs in a hundred thousand, and that of a short text is hardly off.
 
 A round takes the best candidates between groups that are still apart and compares the two texts'
 whole sets. Links that hold join groups, others are not tried again. The first round meets ``HUBS``
@@ -37,10 +38,10 @@ SHINGLE = 5
 LEAST = 0.8
 FINGERPRINT_BITS = 5
 BANDS, WIDTH = 20, 5
-BINS, ESTIMATE = 256, 0.77
+BINS, ESTIMATE = 256, 0.70
 HUBS, MORE = 32, 8
-#: Rows of sketches that a task holds, or one bucket.
-ROWS = 1 << 14
+#: Rows of sketches that a task holds, or one bucket; candidates that it holds.
+ROWS, EMIT = 1 << 14, 1 << 16
 
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 _RNG = np.random.default_rng(SEED)
@@ -153,6 +154,10 @@ def _candidates(most: int):
                         a, b = int(node[i + x]), int(node[hubs[y]])
                         yield min(a, b), max(a, b), float(alike[x, y])
 
+    def table(found: list[tuple]) -> pa.RecordBatch:
+        keys, a, b, alike = zip(*found)
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (keys, a, b)), pa.array(alike, pa.float64())], ["key", "a", "b", "alike"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, node, label, failed, tails in _runs(batches, 1, ROWS):
             sketches = np.frombuffer(b"".join(tails), np.uint8).reshape(len(key), -1)
@@ -165,10 +170,16 @@ def _candidates(most: int):
                 k = y - x
                 some = most == 1 and bool(k > HUBS)
                 hubs = np.unique(np.linspace(0, k - 1, HUBS).astype(np.int64)) if some else np.arange(k)
-                found += [(int(key[x]), *f) for f in set(best(node[x:y], label[x:y], sketches[x:y], tried, hubs))] + [(int(key[x]), None, None, None)] * some
+                if some:
+                    found.append((int(key[x]), None, None, None))
+                # A pair may come from both of its nodes; equal ones become one after the shuffle.
+                for a, b, alike in best(node[x:y], label[x:y], sketches[x:y], tried, hubs):
+                    found.append((int(key[x]), a, b, alike))
+                    if len(found) >= EMIT:
+                        yield table(found)
+                        found = []
             if found:
-                keys, a, b, alike = zip(*found)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (keys, a, b)), pa.array(alike, pa.float64())], ["key", "a", "b", "alike"])
+                yield table(found)
 
     return run
 

@@ -56,3 +56,21 @@ def test_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     texts = [(r.doc_id, r.text) for r in docs.collect()]
     assert kept(spark, texts) == plain(texts)
+
+
+def test_recall_just_above_the_threshold(spark):
+    """Long texts at a similarity of 0.80 to 0.83, each with one partner, against plain comparison."""
+    rng = random.Random(7)
+    texts, want = [], 0
+    for k in range(150):
+        n = rng.randint(300, 1200)
+        words = [f"v{rng.randrange(9000)}" for _ in range(n)]
+        other = list(words)
+        for at in range(n // 90, n, 46 + k % 5):
+            other[at] = f"other{k}"
+        pair = [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        want += 0.8 <= shingles.similarity(*(shingles.shingle_set(t) for _, t in pair)) < 0.84
+        texts += pair
+    got = {i for i, _ in kept(spark, texts)}
+    assert want > 120 and sum(2 * k + 1 not in got for k in range(150)) >= 0.99 * want
+    assert all(2 * k in got for k in range(150))
