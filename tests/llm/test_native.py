@@ -32,7 +32,7 @@ def test_licences(spark):
 
 WRAPPED = [
     ("Redistribution and use in source and binary\nforms are permitted:\n1. Redistributions of source code must\nretain it.\n2. Redistributions in binary form must\nreproduce it.\n3. Neither the name of the copyright holder nor the names of its\n contributors may be used to endorse it.", "BSD-3-Clause"),
-    ("# under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# any later version.", "GPL-3.0"),
+    ("# under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# any later version.", "GPL-3.0-or-later"),
     ("GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of it", "LGPL-2.1"),
     ("the terms of the Mozilla Public License, v. 2.0.", "MPL-2.0"),
     ("under the\nMIT License\nAll rights reserved", "All-rights-reserved,MIT"),
@@ -44,6 +44,16 @@ WRAPPED = [
     ("GNU General Public License as published by\nthe Free Software Foundation; either version 3 of the License", "GPL-3.0"),
     ("Creative Commons Attribution-NonCommercial 4.0", "CC-BY-NC"),
     ("see http://www.apache.org/licenses/LICENSE-2.0 for it", "Apache-2.0"),
+    ("the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "LGPL-2.1-or-later"),
+    ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0-or-later"),
+    ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"),
+    ("the Eclipse Public License - v 2.0, later the European Union Public Licence (EUPL) version 1.2.", "EPL-2.0,EUPL-1.2"),
+    ("Boost Software License - Version 1.0", "BSL-1.0"),
+    ("under the Business Source License 1.1 or the Artistic License 2.0", "Artistic-2.0,BUSL-1.1"),
+    ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", "OFL-1.1"),
+    ("Permission is granted to anyone to use this software for any purpose. The origin of this software must not be misrepresented.", "Zlib"),
+    ("Redistribution and use in source and binary forms. Redistributions of source code must retain it. Redistributions in binary form must reproduce it. All advertising materials mentioning features or use of this software must display the licence. Neither the name of the Foo Inc nor its parts may be used to endorse it.", "BSD-4-Clause"),
+    ("BSD Zero Clause License", "0BSD"),
 ]
 
 
