@@ -123,9 +123,9 @@ def _sample(rows: DataFrame, max_rows: int) -> DataFrame | None:
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     chosen = hashed.select("lang", "h").distinct().withColumn("nth", nth).where(F.col("nth") <= own).select("lang", "h")
     # The choice has a bound, so it may be sent to every executor and the texts stay in place.
-    chosen = materialise(chosen, "language-rows")
+    chosen = materialise(chosen, "language-rows", max_rows)
     sample = hashed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
-    return materialise(sample.select("text", "lang"), "language-sample")
+    return materialise(sample.select("text", "lang"), "language-sample", max_rows)
 
 
 def fit(docs: DataFrame, usable: Column | None = None, max_rows: int = MAX_ROWS) -> Model:

@@ -223,7 +223,8 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, buckets: int = BUCKET
     slots = plan(counts, length, buckets, depth)
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = held.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    ranked = cut.join(before, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("place")).alias("rank"))
+    # Merged at every size: ``before`` grows with the number of tasks.
+    ranked = cut.join(before.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("place")).alias("rank"))
     # Six numbers a slot; their number is bounded by the sequence length, not by the documents.
     shared = spark.sparkContext.broadcast(slots)
 

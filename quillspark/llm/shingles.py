@@ -42,6 +42,8 @@ BINS, ESTIMATE = 256, 0.70
 HUBS, MORE = 32, 8
 #: Rows of sketches that a task holds, or one bucket; candidates that it holds.
 ROWS, EMIT = 1 << 14, 1 << 16
+#: Rows of numbers that a row with a text or sketch counts for.
+TEXT_ROWS = 16
 
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 _RNG = np.random.default_rng(SEED)
@@ -191,20 +193,21 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(holds, pa.bool_())], ["a", "b", "holds"])
 
 
-def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+def _by_fingerprint(nodes: DataFrame, n: int) -> DataFrame:
     """(a, b) with a < b: nodes of one fingerprint in a chain, and the first nodes of fingerprints that are linked."""
     chain = nodes.select(F.lag("node").over(Window.partitionBy("fp").orderBy("node")).alias("a"), F.col("node").alias("b")).where("a IS NOT NULL")
-    first = materialise(nodes.groupBy("fp").agg(F.min("node").alias("node")), "shingle-fps")
-    near = links(first.select("fp"), FINGERPRINT_BITS).toDF("x", "y").join(first.toDF("x", "p"), "x").join(first.toDF("y", "q"), "y")
+    first = materialise(nodes.groupBy("fp").agg(F.min("node").alias("node")), "shingle-fps", n)
+    near = links(first.select("fp"), FINGERPRINT_BITS, rows=n).toDF("x", "y").join(first.toDF("x", "p"), "x").join(first.toDF("y", "q"), "y")
     return chain.unionByName(near.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))).distinct()
 
 
 def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, holds) of pairs of nodes."""
+    n = TEXT_ROWS * pairs.count()
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    held = materialise(texts.join(asked, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "shingle-texts")
+    held = materialise(texts.join(asked, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "shingle-texts", n)
     both = pairs.join(held.toDF("a", "x").hint("merge"), "a").join(held.toDF("b", "y").hint("merge"), "b")
-    out = materialise(both.select("a", "b", "x", "y").mapInArrow(arrow_task(_compared), "a long, b long, holds boolean"), "shingle-links")
+    out = materialise(both.select("a", "b", "x", "y").mapInArrow(arrow_task(_compared), "a long, b long, holds boolean"), "shingle-links", n)
     drop_table(held)
     return out
 
@@ -214,29 +217,30 @@ def _groups(texts: DataFrame, nodes: DataFrame) -> DataFrame:
 
     ``texts``: node, text, with repeats; ``nodes``: node, fp, bands, sketch.
     """
-    tried = _checked(materialise(_by_fingerprint(nodes), "shingle-pairs"), texts)
+    n = nodes.count()
+    tried = _checked(materialise(_by_fingerprint(nodes, n), "shingle-pairs", n), texts)
     keyed = nodes.select("node", F.explode("bands").alias("key")).select("key", "node")
-    buckets = materialise(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(arrow_task(_shared), "who long, key long, node long"), "shingle-shared")
+    buckets = materialise(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(arrow_task(_shared), "who long, key long, node long"), "shingle-shared", BANDS * n)
     # Near copies share many keys: of buckets with the same nodes one is kept.
     one = buckets.groupBy("who").agg(F.min("key").alias("key")).select("key")
-    buckets = materialise(buckets.join(one, "key", "left_semi").select("key", "node"), "shingle-buckets")
+    buckets = materialise(buckets.join(one, "key", "left_semi").select("key", "node"), "shingle-buckets", BANDS * n)
     sketches = nodes.select("node", "sketch").hint("merge")
     most = 1
     while True:
-        labels = components(tried.where("holds").select("a", "b"), "shingle")
+        labels = components(tried.where("holds").select("a", "b"), "shingle", rows=n)
         failed = tried.where("NOT holds").groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("failed"))
         rows = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         # Buckets that are one group have nothing left to join, and their sketches stay where they are.
         apart = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        buckets = materialise(rows.join(apart, "key", "left_semi").select("key", "node", "label"), "shingle-apart")
+        buckets = materialise(rows.join(apart, "key", "left_semi").select("key", "node", "label"), "shingle-apart", BANDS * n)
         rows = buckets.join(failed, "node", "left").join(sketches, "node").select("key", "node", "label", "failed", "sketch")
         found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(arrow_task(_candidates(most)), "key long, a long, b long, alike double")
-        found = materialise(found, "shingle-candidates")
+        found = materialise(found, "shingle-candidates", BANDS * n)
         # A bucket without a candidate never gets one: groups only grow, and tried pairs stay tried.
         buckets = buckets.join(found.select("key").distinct(), "key", "left_semi").select("key", "node")
         found = found.where("a IS NOT NULL").groupBy("a", "b").agg(F.max("alike").alias("alike"))
         nth = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("alike"), "a"))
-        pairs = materialise(found.withColumn("nth", nth).where(F.col("nth") <= most).select("a", "b"), "shingle-pairs")
+        pairs = materialise(found.withColumn("nth", nth).where(F.col("nth") <= most).select("a", "b"), "shingle-pairs", n * most)
         if not pairs.isEmpty():
             tried = tried.unionByName(_checked(pairs, texts))
         elif most > 1:
@@ -259,12 +263,12 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     rows = own.select(F.col(at).alias("doc_id"), node.alias("node"), F.col(text).alias("text"))
     signed = materialise(_signed(rows.where("doc_id IS NOT NULL")), "shingle-minima")
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    nodes = materialise(nodes, "shingle-nodes")
+    nodes = materialise(nodes, "shingle-nodes", TEXT_ROWS * signed.count())
     labels = _groups(rows.select("node", F.coalesce("text", F.lit("")).alias("text")), nodes)
     named = nodes.select("node", "least").join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("root"))
     kept = named.groupBy("root").agg(F.min(F.struct("least", "node")).alias("m")).select(F.col("m.least").alias("doc_id"), F.col("m.node").alias("node"))
     kept = kept.join(signed.select("doc_id", "node"), ["doc_id", "node"]).groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n_rows"))
-    kept = materialise(kept.toDF("keep_id", "keep_node", "n_rows"), "shingle-kept")
+    kept = materialise(kept.toDF("keep_id", "keep_node", "n_rows"), "shingle-kept", signed.count())
     # Merged at every size: texts move once, whether or not the list of kept rows is small.
     joined = own.withColumn("node", node).join(kept.hint("merge"), (F.col(at) == F.col("keep_id")) & (F.col("node") == F.col("keep_node")))
     once = joined.where("n_rows = 1").select(*names)

@@ -201,8 +201,8 @@ def _signatures(value: str, cut: list[tuple[int, int]]) -> tuple[str, int]:
     return f"CASE {' '.join(cases)} END", n
 
 
-def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> DataFrame:
-    """(a, b) links that connect all fingerprints within ``max_bits``; ``distinct_fps``: column fp."""
+def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET, rows: int | None = None) -> DataFrame:
+    """(a, b) links that connect all fingerprints within ``max_bits``; ``distinct_fps``: column fp, about ``rows`` of them."""
     if not 0 <= max_bits <= 5:
         raise ValueError("over five bits need segments too narrow to tell fingerprints apart")
     first = segments(64, max_bits)
@@ -212,7 +212,7 @@ def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKE
     keyed = distinct_fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("n")).select(F.expr(signature).alias("key"), "fp")
     task = arrow_task(_search(first, None, max_bits, bucket))
     found = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(task, "key long, a long, b long")
-    found = materialise(found, "simhash-buckets")
+    found = materialise(found, "simhash-buckets", rows)
     over = found.where("key >= 0")
     linked = found.where("key < 0").select("a", "b")
     if over.isEmpty():
@@ -251,14 +251,14 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], ["node", "label"])
 
 
-def _further(labels: DataFrame, up: DataFrame, what: str) -> DataFrame:
+def _further(labels: DataFrame, up: DataFrame, what: str, rows: int | None = None) -> DataFrame:
     """Labels followed one round further."""
     later = up.selectExpr("node AS label", "label AS end")
-    return materialise(labels.join(later, "label", "left").selectExpr("node", "coalesce(end, label) AS label"), f"{what}-labels")
+    return materialise(labels.join(later, "label", "left").selectExpr("node", "coalesce(end, label) AS label"), f"{what}-labels", rows)
 
 
-def components(edges: DataFrame, what: str = "simhash", one_task: int = ONE_TASK) -> DataFrame:
-    """(node, label): the smallest node that each node of ``edges`` (a, b) can reach.
+def components(edges: DataFrame, what: str = "simhash", one_task: int = ONE_TASK, rows: int | None = None) -> DataFrame:
+    """(node, label): the smallest node that each node of ``edges`` (a, b), about ``rows``, can reach.
 
     In a round each node points to its smallest neighbour, or to itself where that is larger, and
     pointers are followed to their ends. Then each tree is one node, and the links left between
@@ -267,27 +267,27 @@ def components(edges: DataFrame, what: str = "simhash", one_task: int = ONE_TASK
     shared folder.
     """
     pair = ["greatest(a, b) AS a", "least(a, b) AS b"]
-    rest = materialise(edges.where("a <> b").selectExpr(*pair).distinct(), f"{what}-edges")
+    rest = materialise(edges.where("a <> b").selectExpr(*pair).distinct(), f"{what}-edges", rows)
     labels = None
     while n := rest.count():
         if n <= one_task:
             up = materialise(rest.repartition(1).mapInArrow(arrow_task(_joined), "node long, label long"), f"{what}-up")
-            return up if labels is None else _further(labels, up, what)
+            return up if labels is None else _further(labels, up, what, rows)
         both = rest.selectExpr("a AS node", "b AS other").union(rest.selectExpr("b AS node", "a AS other"))
-        up = materialise(both.groupBy("node").agg(F.min("other").alias("m")).selectExpr("node", "least(node, m) AS label"), f"{what}-up")
+        up = materialise(both.groupBy("node").agg(F.min("other").alias("m")).selectExpr("node", "least(node, m) AS label"), f"{what}-up", rows)
         while True:
             further = up.join(up.selectExpr("node AS label", "label AS end"), "label").selectExpr("node", "end AS label", "end <> label AS moved")
-            further = materialise(further, f"{what}-up")
+            further = materialise(further, f"{what}-up", rows)
             drop_table(up)
             up = further.select("node", "label")
             if further.where("moved").isEmpty():
                 break
         left = rest.join(up.selectExpr("node AS a", "label AS x"), "a").join(up.selectExpr("node AS b", "label AS y"), "b")
-        rest = materialise(left.where("x <> y").selectExpr("greatest(x, y) AS a", "least(x, y) AS b").distinct(), f"{what}-edges")
+        rest = materialise(left.where("x <> y").selectExpr("greatest(x, y) AS a", "least(x, y) AS b").distinct(), f"{what}-edges", rows)
         if labels is None:
             labels = up
         else:
-            labels = _further(labels, up, what)
+            labels = _further(labels, up, what, rows)
     return rest.selectExpr("a AS node", "b AS label") if labels is None else labels
 
 
