@@ -60,11 +60,10 @@ def inside_udf(root: str):
 
 
 def extract_scanned(spark: SparkSession, root: str, extract=None) -> DataFrame:
-    """(path, sha256, pages, error) of the PDFs below ``root`` that lie there, by their path within it."""
-    rows = binary(spark, root, "*.[pP][dD][fF]").where(inside_udf(root)("path"))
-    found = extract_texts(rows, extract or extract_pages)
-    hashes = rows.select("path", "relative", F.sha2("content", 256).alias("sha256"))
-    return hashes.join(found, "path").select(F.col("relative").alias("path"), "sha256", "pages", "error")
+    """(path, sha256, pages, error) of the PDFs below ``root`` that lie there, by their path within it; each is read once."""
+    from quillspark.sources import pdfs
+
+    return pdfs.scan(spark, root, extract or extract_pages)
 
 
 def scan_texts(spark: SparkSession, path: str) -> DataFrame:
