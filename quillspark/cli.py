@@ -54,11 +54,10 @@ def _run(args: argparse.Namespace, spark: SparkSession | None) -> job.Report:
     if args.action == "sync":
         counts = library.sync(spark, args.tag, args.out, args.data_dir, args.copy_all, args.dry_run, args.base)
         return job.Report([f"{args.tag} -> {args.out}" + (" (nothing was changed)" if args.dry_run else ""), "  " + ", ".join(f"{k} {v}" for k, v in counts.items())])
-    text = library.annotations_json(spark, args.tag, args.base)
     if args.out:
-        files.safe_write(args.out, text + "\n", overwrite=True)
+        library.write_annotations(spark, args.tag, args.out, args.base)
         return job.Report([f"written to {args.out}"])
-    return job.Report([text])
+    return job.Report([library.annotations_json(spark, args.tag, args.base)])
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:

@@ -6,8 +6,9 @@ is written by the driver, row by row. Nothing is ever deleted.
 
 from __future__ import annotations
 
+import filecmp
 import os
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -63,18 +64,18 @@ def _written(plan: DataFrame, root: Path, force: bool) -> DataFrame:
 
 
 def write_manifest(papers: DataFrame, path: Path, extractor: str) -> bool:
-    """Write the manifest, one entry at a time; False where it is there already."""
-    handle, name = tempfile.mkstemp(dir=path.parent, prefix=f".{path.name}.")
-    with os.fdopen(handle, "w", encoding="utf-8", newline="") as out:
-        out.writelines(corpus.manifest_parts(papers, extractor))
-    if path.is_symlink():
-        os.unlink(name)
-        raise files.WriteRefused(f"{path.name} is a link")
-    if path.exists() and path.read_bytes() == Path(name).read_bytes():
-        os.unlink(name)
-        return False
-    os.replace(name, path)
-    return True
+    """Write the manifest, by tasks and at once; False where it is there already."""
+    fresh = path.parent / f".{path.name}.{uuid.uuid4().hex}"
+    try:
+        corpus.write_manifest(papers, fresh, extractor)
+        if path.is_symlink():
+            raise files.WriteRefused(f"{path.name} is a link")
+        if path.exists() and filecmp.cmp(path, fresh, shallow=False):
+            return False
+        os.replace(fresh, path)
+        return True
+    finally:
+        fresh.unlink(missing_ok=True)
 
 
 def index(spark: SparkSession, folder: str | os.PathLike, floor: int = scalars.CHARS_PER_PAGE, force: bool = False, extract: Callable[[bytes], list[str]] = files.extract_pages) -> Report:

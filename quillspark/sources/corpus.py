@@ -7,6 +7,7 @@ with an error is not read at all.
 from __future__ import annotations
 
 import json
+import os
 import textwrap
 from collections.abc import Iterator
 
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 
 from quillspark.functions import scalars
 from quillspark.operators import intervals
+from quillspark.sources import sink
 from quillspark.sources.tables import materialise
 
 MANIFEST_VERSION = "1"
@@ -129,13 +131,16 @@ def entry_json(papers: DataFrame) -> DataFrame:
     return papers.select("paper_id", F.when(F.col("note").isNull(), own).otherwise(noted).alias("entry"))
 
 
-def manifest_parts(papers: DataFrame, extractor: str) -> Iterator[str]:
-    """The manifest in parts, an entry each, as the rows come: no times, so the same papers give the same bytes."""
-    yield "{\n" + f'  "manifest_version": {json.dumps(MANIFEST_VERSION)},\n  "extractor": {json.dumps(extractor)},\n  "papers": ['
-    n = 0
-    for n, row in enumerate(entry_json(papers).orderBy("paper_id").toLocalIterator(), 1):
-        yield ("," if n > 1 else "") + "\n" + textwrap.indent(json.dumps(json.loads(row.entry), indent=2, ensure_ascii=False), "    ")
-    yield ("\n  " if n else "") + "]\n}\n"
+@F.pandas_udf(T.StringType())
+def _indented(entries: pd.Series) -> pd.Series:
+    return entries.map(lambda e: "\n" + textwrap.indent(json.dumps(json.loads(e), indent=2, ensure_ascii=False), "    "))
+
+
+def write_manifest(papers: DataFrame, path: str | os.PathLike, extractor: str) -> None:
+    """The manifest, entries in the order of their ids: no times, so the same papers give the same bytes."""
+    head = "{\n" + f'  "manifest_version": {json.dumps(MANIFEST_VERSION)},\n  "extractor": {json.dumps(extractor)},\n  "papers": ['
+    entries = entry_json(papers).orderBy("paper_id").select(_indented("entry"))
+    sink.write_list(entries, path, head, ",", "\n  ]\n}\n", "]\n}\n")
 
 
 def document_text(pages: Column, fields: dict[str, Column]) -> Column:

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from quillspark.sources import files, sink
+
 PAGE = 100
 #: Address of the library's interface on its own machine, and seconds to wait for it.
 BASE, TIMEOUT = "http://127.0.0.1:23119/api/users/0", 15
@@ -249,9 +251,21 @@ def sync(spark: SparkSession, tag: str, out: str | os.PathLike, data_dir: str |
     return counts
 
 
-def annotations_json(spark: SparkSession, tag: str, base: str = BASE) -> str:
-    """The highlights of a tag's papers as a JSON list; nulls are kept."""
+def annotation_rows(spark: SparkSession, tag: str, base: str = BASE) -> DataFrame:
+    """The highlights of a tag's papers in order, each as JSON; nulls are kept."""
     items = tagged(listed(spark, base, tag=tag), tag)
     found = highlights(items, pdf_attachments(listed(spark, base, itemType="attachment")), listed(spark, base, itemType="annotation"))
     rows = found.select("item_key", "title", "page", F.col("highlight").alias("text"), "comment").orderBy("item_key", "page", "text")
-    return "[" + ",".join("\n " + line for (line,) in rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator()) + "\n]"
+    return rows.select(F.concat(F.lit("\n "), F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).alias("text"))
+
+
+def annotations_json(spark: SparkSession, tag: str, base: str = BASE) -> str:
+    """The highlights as one JSON list, to be shown; ``write_annotations`` writes any number of them."""
+    return "[" + ",".join(line for (line,) in annotation_rows(spark, tag, base).toLocalIterator()) + "\n]"
+
+
+def write_annotations(spark: SparkSession, tag: str, path: str | os.PathLike, base: str = BASE) -> None:
+    """The list of ``annotations_json`` as a file, written by tasks."""
+    if os.path.islink(path):
+        raise files.WriteRefused(f"{os.path.basename(path)} is a link")
+    sink.write_list(annotation_rows(spark, tag, base), path, "[", ",", "\n]\n")

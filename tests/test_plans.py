@@ -144,10 +144,14 @@ def test_manifest(spark, tmp_path):
 
 def test_manifest_round_trip(spark, tmp_path):
     papers = corpus.read_manifest(spark, manifest(tmp_path, [entry(title="Ünï", note="n"), entry(paper_id="q")]))
-    text = "".join(corpus.manifest_parts(papers, "x"))
-    (tmp_path / "again.json").write_text(text)
-    again = corpus.read_manifest(spark, str(tmp_path / "again.json"))
-    assert again.collect() == papers.collect() and "".join(corpus.manifest_parts(again, "x")) == text and text.count('"note"') == 1
+    paths = [tmp_path / n for n in ("again.json", "once_more.json", "none.json")]
+    corpus.write_manifest(papers, paths[0], "x")
+    again = corpus.read_manifest(spark, str(paths[0]))
+    corpus.write_manifest(again, paths[1], "x")
+    corpus.write_manifest(papers.limit(0), paths[2], "x")
+    text = paths[0].read_text()
+    assert sorted(map(str, again.collect())) == sorted(map(str, papers.collect())) and paths[1].read_text() == text and text.count('"note"') == 1
+    assert all(p.read_text() == json.dumps(json.loads(p.read_text()), indent=2, ensure_ascii=False) + "\n" for p in paths)
 
 
 def test_documents_keep_their_pages(spark):
