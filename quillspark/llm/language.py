@@ -113,7 +113,8 @@ class Scorer:
 
 def _sample(rows: DataFrame, max_rows: int) -> DataFrame | None:
     """(text, lang) of at most ``max_rows`` rows, as many of each language; a text of a language counts once."""
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    # Of different texts: a text may have any number of copies, and the margin below covers the estimate.
+    sizes = {r[0]: max(1, r[1]) for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02)).collect()}
     if not sizes:
         return None
     own = max(1, max_rows // len(sizes))

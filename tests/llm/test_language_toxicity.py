@@ -207,6 +207,11 @@ def test_the_sample_has_a_bound(spark):
     assert 0 < len(model) <= 30 and len({r.text for r in model}) == len(model)
 
 
+def test_copies_do_not_empty_the_sample(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") < 400, F.concat(F.lit("text "), F.col("id").cast("string"))).otherwise("one text").alias("text"), F.lit("en").alias("lang"))
+    assert language._sample(rows, 150).count() == 150
+
+
 def test_patterns():
     rows = [("lowei", 60, 0), ("loweiung", 20, 0), ("loweiung$", 20, 0), ("low", 60, 0), ("the$", 90, 880), ("idiot$", 50, 0), ("idiot", 51, 0), ("rare$", 1, 0)]
     kept = toxicity.choose(rows, 100, 1000)
