@@ -507,3 +507,46 @@ def test_pipeline_of_odd_rows(spark, odd_docs, tmp_path):
 def test_registered():
     assert sorted(queries.queries()) == sorted(["op1_language_id", "op2_licence_scan", "op3_merkle_audit", "op4_simhash", "op5_pseudonyms", "op6_vafile", "op7_main_text", "op8_packing", "op9_decontamination", "op10_toxicity", "pipeline"])
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def plain_left(pages):
+    """Unmarked blocks of up to 15 words that stay, by counting runs of eight words on different pages of one host."""
+    def runs(blocks):
+        stream, at = " ".join(blocks).split(" "), 0
+        for block in blocks:
+            n = block.count(" ") + 1
+            if n >= 8:
+                yield {tuple(stream[i : i + 8]) for i in range(at, at + n - 7)}, n
+            else:
+                # A short block is known by the run that begins with it and by the one that ends with it.
+                yield {tuple(stream[i : i + 8]) for i in (at, at + n - 8) if 0 <= i <= len(stream) - 8}, 1
+            at += n
+
+    on = {}
+    for blocks in pages:
+        for own, _ in runs(blocks):
+            for run in own:
+                on.setdefault(run, set()).add("\n".join(blocks))
+
+    def stays(own, n):
+        return 2 * sum(len(on[run]) >= 3 for run in own) <= (len(own) if n >= 8 else 1)
+
+    return ["\n".join(b for b, (own, n) in zip(blocks, runs(blocks)) if stays(own, n)) for blocks in pages]
+
+
+def test_unmarked_blocks_against_plain_counting(spark):
+    import random
+
+    rng = random.Random(9)
+    words = "the of mill and river house stone he was in it no so on by".split()
+    pool = [" ".join(rng.choices(words, k=rng.randint(2, 15))) for _ in range(25)]
+    pages = []
+    for k in range(120):
+        blocks = [rng.choice(pool) if rng.random() < 0.6 else " ".join([*rng.choices(words, k=rng.randint(1, 12)), f"own{k}"]) for _ in range(rng.randint(1, 7))]
+        pages.append(blocks if k % 9 or not k else pages[k - 3])
+    rows = [(k, f"https://host{k % 3}.example/{k}", "".join(f"<div>{b}</div>" for b in blocks)) for k, blocks in enumerate(pages)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), run_tokens=200).collect()}
+    want = {}
+    for h in range(3):
+        want |= dict(zip(range(h, 120, 3), plain_left(pages[h::3])))
+    assert got == want and sum(want[k] != "\n".join(b) for k, b in enumerate(pages)) > 30
