@@ -10,8 +10,8 @@ can tell apart: at a similarity of 0.8 a bit differs with a probability of 0.15,
 texts that are still apart also meet by ``BANDS`` keys over ``WIDTH`` minima of the set each; a pair
 of similarity 0.8 shares none in four cases of ten thousand. A sketch of ``BINS`` bins, with the
 least hash of each, estimates the similarity of those that meet, and pairs below ``ESTIMATE`` are left
-out: at 0.8 the estimate of a long text is off by 0.025 in the mean, so it falls four times as far for
-three pairs in a hundred thousand, and that of a short text is hardly off.
+out: at 0.8 the estimate of a long text is off by 0.0125 in the mean, so it falls that far for seven
+pairs in ten thousand, and that of a short text is hardly off.
 
 A round takes the best candidates between groups that are still apart and compares the two texts'
 whole sets. Links that hold join groups, others are not tried again. The first round meets ``HUBS``
@@ -38,7 +38,7 @@ SHINGLE = 5
 LEAST = 0.8
 FINGERPRINT_BITS = 5
 BANDS, WIDTH = 20, 5
-BINS, ESTIMATE = 256, 0.70
+BINS, ESTIMATE = 1024, 0.76
 HUBS, MORE = 32, 8
 #: Rows of sketches that a task holds, or one bucket; candidates that it holds.
 ROWS, EMIT = 1 << 14, 1 << 16
