@@ -5,6 +5,9 @@ counts as well. A heading is accepted where enough of the lines after it look li
 The end is the smaller of two estimates: where a sliding density stays low, and where the running
 sum of log odds is greatest. All frames are partitioned by document, so documents spread over the
 cluster; the lines of one document meet in one task.
+
+Documents without the words of a heading have no list, and none of their lines is made. The others
+are dealt out by their key once, before they are cut into lines, so that no line moves.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ HEADINGS = ["REFERENCES", "BIBLIOGRAPHY", "LITERATURE CITED", "WORKS CITED", "RE
 #: A letter-spaced heading has a space or tab between its letters.
 _SPACED = "|".join("[ \\t]{1,8}".join("[ \\t]?".join(word) for word in h.split(" ")) for h in HEADINGS)
 HEADING = rf"(?:^\f?|(?<=\s\s))(?:(?:[0-9]{{1,2}}(?:\.[0-9]{{1,2}})?|[IVXLC]{{1,6}}|[A-Z])[.)]?[ \t]{{1,8}})?(?i:{_SPACED})(?![A-Za-z])"
+#: What a text with a heading holds somewhere.
+HINT = rf"(?i:{_SPACED})(?![A-Za-z])"
 # Lines that speak of references, and words that follow the word in a sentence.
 LINE_REJECT = r"(?i)[\"“”‘’]references[\"“”‘’]|reference format|cross-references|\.{5,}|references (?:to|of|are|in|for|were|and)"
 WORD_REJECT = r"(?is)^[^A-Za-z0-9]{0,3}(?:to|of|in|for|are|is|and|or|that|which|from|used|such|list|section|format|cited|were|have|can)\b"
@@ -44,7 +49,7 @@ STATUSES = ["IN_REFERENCE_REGION", "OUTSIDE_REFERENCE_REGION", "IN_REFERENCE_REG
 
 def lines_of(docs: DataFrame, key: str = "paper_id", raw: str = "raw") -> DataFrame:
     """(key, line_no, line, start_char, features, table): the lines of each document."""
-    parts = docs.select(key, F.posexplode(F.split(raw, "\n", -1)).alias("line_no", "line"))
+    parts = docs.repartition(key).select(*[c for c in docs.columns if c != raw], F.posexplode(F.split(raw, "\n", -1)).alias("line_no", "line"))
     before = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("long")
     blank = scalars.is_blank(F.col("line"))
@@ -60,15 +65,10 @@ def positions(lines: DataFrame, key: str = "paper_id") -> DataFrame:
     return filled.withColumn("dilated", F.max((F.col("features") > 0).cast("int")).over(near))
 
 
-def headings(lines: DataFrame, key: str = "paper_id") -> DataFrame:
-    """(key, line_no, heading_start, heading): candidates that both rejections spare.
-
-    A line is searched with the line before it in mind only through its own text: a gap before a
-    heading lies in its line. The text after a match runs on into the next lines.
-    """
+def _heads(lines: DataFrame, key: str) -> DataFrame:
+    """``lines`` with the candidates of each line, in order: an array of heading_start, heading."""
     w = Window.partitionBy(key).orderBy("line_no")
-    after = F.concat_ws("\n", "line", F.lead("line", 1).over(w), F.lead("line", 2).over(w))
-    found = lines.withColumn("after", after).where(F.col("line").rlike(HEADING) & ~F.col("line").rlike(LINE_REJECT))
+    lines = lines.withColumn("after", F.concat_ws("\n", "line", F.lead("line", 1).over(w), F.lead("line", 2).over(w)))
     pieces = F.split("line", HEADING, -1)
     matches = F.regexp_extract_all("line", F.lit(HEADING), F.lit(0))
     ends = F.transform(
@@ -78,9 +78,18 @@ def headings(lines: DataFrame, key: str = "paper_id") -> DataFrame:
             m.alias("text"),
         ),
     )
-    one = found.select(key, "line_no", "start_char", "after", F.explode(ends).alias("m"))
-    rest = F.substring("after", F.col("m.at") + F.length("m.text") + 1, F.lit(24))
-    return one.where(~rest.rlike(WORD_REJECT)).select(key, "line_no", (F.col("start_char") + F.col("m.at")).alias("heading_start"), scalars.strip(F.col("m.text")).alias("heading"))
+    spared = F.filter(ends, lambda m: ~F.substring("after", m["at"] + F.length(m["text"]) + 1, F.lit(24)).rlike(WORD_REJECT))
+    heads = F.transform(spared, lambda m: F.struct((F.col("start_char") + m["at"]).alias("heading_start"), scalars.strip(m["text"]).alias("heading")))
+    return lines.withColumn("heads", F.when(F.col("line").rlike(HEADING) & ~F.col("line").rlike(LINE_REJECT), heads)).drop("after")
+
+
+def headings(lines: DataFrame, key: str = "paper_id") -> DataFrame:
+    """(key, line_no, heading_start, heading): candidates that both rejections spare.
+
+    A line is searched with the line before it in mind only through its own text: a gap before a
+    heading lies in its line. The text after a match runs on into the next lines.
+    """
+    return _heads(lines, key).select(key, "line_no", F.inline("heads"))
 
 
 def start_densities(pos: DataFrame, key: str = "paper_id") -> DataFrame:
@@ -89,41 +98,56 @@ def start_densities(pos: DataFrame, key: str = "paper_id") -> DataFrame:
     return pos.withColumn("density", F.avg("dilated").over(after)).withColumn("next_pos", F.col("pos") + 1)
 
 
-def _ends(tail: DataFrame, key: str) -> DataFrame:
-    """(key, density_end, map_end): both estimates over the lines after the accepted heading."""
-    w = Window.partitionBy(key).orderBy("pos")
-    low = F.avg("dilated").over(w.rowsBetween(0, END_LINES - 1)) < END_DENSITY
-    tail = tail.withColumn("low", low)
+def _ends(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with density_at and map_at: what both estimates take their ends from, in the lines of ``tail``."""
+    w = Window.partitionBy(key, "tail").orderBy("pos")
+    rows = rows.withColumn("low", F.avg("dilated").over(w.rowsBetween(0, END_LINES - 1)) < END_DENSITY)
     stays = F.col("low")
     for k in range(1, END_RUN):
         stays = stays & F.lead("low", k).over(w)
     p = F.element_at(F.array(*map(F.lit, PROBABILITIES)), F.col("features") + 1)
-    p = F.when(scalars.is_table_row(F.col("line")), F.least(p, F.lit(TABLE_MOST))).otherwise(p)
-    tail = tail.withColumn("stays", stays).withColumn("p", p)
-    tail = tail.withColumn("p", F.max("p").over(w.rowsBetween(-1, 1)))
+    p = F.when(F.col("tail"), F.when(scalars.is_table_row(F.col("line")), F.least(p, F.lit(TABLE_MOST))).otherwise(p))
+    rows = rows.withColumn("stays", stays).withColumn("p", p)
+    rows = rows.withColumn("p", F.max("p").over(w.rowsBetween(-1, 1)))
     # The table's log odds are computed once, so that equal sums stay equal.
     odds = F.element_at(F.create_map(*[F.lit(x) for q in sorted({*PROBABILITIES, TABLE_MOST}) for x in (q, math.log(q / (1 - q)))]), F.col("p"))
-    tail = tail.withColumn("odds", F.sum(odds).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    best = F.struct("odds", (-F.col("pos")).alias("p"))
-    line_end = F.col("start_char") + F.length("line")
-    return tail.groupBy(key).agg(F.min(F.when(F.col("stays"), F.col("start_char"))).alias("density_end_char"), F.max_by(line_end, best).alias("map_end_char"))
+    rows = rows.withColumn("odds", F.sum(odds).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    best = F.when(F.col("tail"), F.struct("odds", (-F.col("pos")).alias("p")))
+    return rows.withColumn("density_at", F.when(F.col("tail") & F.col("stays"), F.col("start_char"))).withColumn("map_at", best)
+
+
+def has_hint(raw: Column) -> Column:
+    """Whether a text holds the words of a heading; never null."""
+    return F.coalesce(raw.rlike(HINT), F.lit(False))
+
+
+def unknown(key: Column) -> list[Column]:
+    """The row of ``detect`` for a document without a heading."""
+    return [key, *[F.lit(None).cast("long").alias(c) for c in ("start_char", "end_char", "density_end_char", "map_end_char")], F.lit(None).cast("string").alias("heading"), F.lit("REGION_UNKNOWN").alias("status")]
 
 
 def detect(docs: DataFrame, key: str = "paper_id", raw: str = "raw") -> DataFrame:
     """One row per document: key, start_char, end_char, density_end_char, map_end_char, heading, status."""
-    docs = docs.select(key, F.coalesce(F.col(raw), F.lit("")).alias(raw))
-    lines = lines_of(docs, key, raw)
+    return detect_hinted(docs.where(has_hint(F.col(raw))), key, raw).unionByName(docs.where(~has_hint(F.col(raw))).select(*unknown(F.col(key))))
+
+
+def detect_hinted(docs: DataFrame, key: str = "paper_id", raw: str = "raw") -> DataFrame:
+    """``detect`` for documents that hold the words of a heading: all windows and sums over one order of lines."""
+    size = docs.select(F.col(key), F.length(raw).alias("size"), F.col(raw).alias("__raw"))
+    lines = _heads(lines_of(size, key, "__raw"), key)
     dense = start_densities(positions(lines, key), key)
-    accepted = headings(lines, key).join(dense.where(F.col("density") >= START_DENSITY).select(key, "line_no", "next_pos"), [key, "line_no"])
-    first = accepted.groupBy(key).agg(
-        F.min_by(F.struct("heading_start", "heading", "next_pos"), "heading_start").alias("h"), F.count(F.lit(1)).alias("n"), (F.max("heading_start") - F.min("heading_start")).alias("spread")
-    )
-    first = docs.select(key, F.length(raw).alias("size")).join(first, key, "left")
+    dense = dense.withColumn("heads", F.when((F.col("density") >= START_DENSITY) & (F.size("heads") > 0), F.col("heads")))
+    one = Window.partitionBy(key)
+    first = F.when(F.col("heads").isNotNull(), F.struct(F.col("heads")[0]["heading_start"].alias("heading_start"), F.col("heads")[0]["heading"].alias("heading"), F.col("next_pos").alias("next_pos")))
+    dense = dense.withColumn("h", F.min(first).over(one)).withColumn("n", F.sum(F.when(F.col("heads").isNotNull(), F.size("heads"))).over(one))
+    dense = dense.withColumn("spread", F.max(F.element_at("heads", -1)["heading_start"]).over(one) - F.col("h.heading_start"))
     many = (F.col("n") >= MANY_HEADINGS) & (F.col("spread") >= MANY_SPREAD * F.col("size"))
-    first = first.withColumn("many", F.coalesce(many, F.lit(False)))
-    one = first.where(F.col("h").isNotNull() & ~F.col("many")).select(key, F.col("h.next_pos").alias("from_pos"))
-    tail = positions(lines, key).join(one, key).where(F.col("pos") >= F.col("from_pos"))
-    found = first.join(_ends(tail, key), key, "left")
+    dense = dense.withColumn("many", F.coalesce(many, F.lit(False)))
+    dense = dense.withColumn("tail", F.coalesce(~F.col("many") & (F.col("pos") >= F.col("h.next_pos")), F.lit(False)))
+    line_end = F.col("start_char") + F.length("line")
+    found = _ends(dense, key).groupBy(key).agg(
+        F.first("size").alias("size"), F.first("h").alias("h"), F.first("many").alias("many"), F.min("density_at").alias("density_end_char"), F.max_by(line_end, "map_at").alias("map_end_char")
+    )
     start = F.when(~F.col("many"), F.col("h.heading_start"))
     by_density = F.when(start.isNotNull(), F.coalesce("density_end_char", "size"))
     by_map = F.when(start.isNotNull(), F.coalesce("map_end_char", "size"))

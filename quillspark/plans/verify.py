@@ -30,14 +30,19 @@ def prepare_corpus(papers: DataFrame, key: str = "paper_id") -> DataFrame:
 
     A document that is null or blank is not held; it has null forms.
     """
-    docs = loc.prepare(papers.select(key, "raw"), key, "raw")
+    # Only documents that may have a list are joined with its bounds, before their forms are made.
+    asked = papers.select(key, "raw")
+    none = asked.where(~region.has_hint(F.col("raw")))
+    nowhere = F.struct(*region.unknown(F.col(key))[1:]).alias("region")
+    some = asked.where(region.has_hint(F.col("raw")))
+    bounds = region.detect_hinted(some, key)
+    some = some.join(bounds.select(key, F.struct(*[c for c in bounds.columns if c != key]).alias("region")), key, "left")
+    docs = loc.prepare(none.select(key, "raw", nowhere).unionByName(some), key, "raw")
     docs = docs.withColumn("header_end", scalars.header_end(F.col("raw"))).withColumn("pages", scalars.pages(F.col("raw")))
-    bounds = region.detect(papers.select(key, "raw"), key)
-    docs = docs.join(bounds.select(key, F.struct(*[c for c in bounds.columns if c != key]).alias("region")), key, "left")
     before = F.when(F.col("region.start_char").isNull(), F.col("raw")).otherwise(F.substring("raw", F.lit(1), F.col("region.start_char").cast("int")))
     docs = docs.withColumn("__body", before).withColumn("__years", F.size(markers.author_year_udf("__body")).cast("long"))
     style = markers.style_column(markers.count_bracketed(F.col("__body")), F.col("__years"), F.col("region.start_char").isNotNull())
-    return materialise(docs.withColumn("marker_style", style).drop("__body", "__years"), "corpus")
+    return materialise(docs.withColumn("marker_style", style).select(key, "raw", "norm", "match", "header_end", "pages", "region", "marker_style"), "corpus")
 
 
 def prepare_quotes(quotes: DataFrame, key: str = "quote_id") -> DataFrame:
