@@ -23,6 +23,13 @@ LINE_TOKENS = [r"pp\.\s*[0-9]", r"vol\.", r"no\.\s*[0-9]", r"et al\.", "doi", r"
 LINE_ENTRY = r"(?:^|\s\s)\s*(\[[0-9]{1,3}\]|[0-9]{1,3}\.\s+[A-Z])"
 LINE_INITIALS = r"\b[A-Z]\.[ ,]"
 LINE_FEATURES = [LINE_YEAR, "|".join(LINE_TOKENS), LINE_ENTRY, LINE_INITIALS]
+#: For each token what its matches hold, and whether that alone is a match.
+LINE_TOKEN_PARTS = [
+    (["pp."], False), (["vol."], True), (["no."], False), (["et al."], True), (["doi"], True), (["10."], False), (["In:"], True), (["In Proc"], True), (["Proceedings"], True), (["Journal"], True), (["arXiv"], True), (["LNCS"], True),
+    (["http://", "https://"], True), (["IEEE"], True), (["ACM"], True), (["Springer"], True), (["Ed.", "Eds."], True), (["Press"], True), (["Conference"], True), (["Workshop"], True), (["Symposium"], True), (["Trans."], True), (["pages"], False),
+]
+#: What each match of the other three holds: runs of single classes, which cost little where there is none.
+LINE_HINTS = {LINE_YEAR: r"[12][089][0-9][0-9]", LINE_ENTRY: r"[0-9][.\]]", LINE_INITIALS: r"[A-Z]\.[ ,]"}
 
 # What a block of a reference list holds.
 BLOCK_YEAR = r"\b(?:1[5-9]|20)[0-9]{2}[a-z]?\b"
@@ -175,10 +182,18 @@ def page_of(page_array: Column, span: Column) -> Column:
 
 
 def feature_count(line: Column) -> Column:
-    """How many of the four kinds of reference features a line shows."""
-    out = F.lit(0)
-    for pattern in LINE_FEATURES:
-        out = out + line.rlike("(?U)" + pattern).cast("int")
+    """How many of the four kinds of reference features a line shows.
+
+    A pattern with word bounds or many branches is tried at each character, so only lines that hold what its
+    matches hold are searched for it."""
+    token = F.lit(False)
+    for pattern, (parts, whole) in zip(LINE_TOKENS, LINE_TOKEN_PARTS, strict=True):
+        for part in parts:
+            there = F.contains(line, F.lit(part))
+            token = token | (there if whole else there & line.rlike("(?U)" + pattern))
+    out = token.cast("int")
+    for pattern, hint in LINE_HINTS.items():
+        out = out + (line.rlike(hint) & line.rlike("(?U)" + pattern)).cast("int")
     return out
 
 
