@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from quillspark.sources.tables import materialise
 
 PART = "__part"
+#: Rows that a task sorts, about: there are more tasks where a table has more.
+TASK_ROWS = 1 << 22
 
 
 def dealt(rows: DataFrame, *order: str) -> DataFrame:
@@ -35,17 +37,20 @@ def running(parts: DataFrame, key: str, order: list[str], **values: tuple[str, C
     Kinds are ``sum``, ``max`` and ``last`` (the last value that is not null)."""
     made = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
     own = Window.partitionBy(key, PART).orderBy(*order)
-    out = parts.withColumns({f"__{n}": c for n, (_, c, _) in values.items()})
     place = F.struct(*order)
-    whole = {n: F.max_by(F.col(f"__{n}"), F.when(F.col(f"__{n}").isNotNull(), place)) if kind == "last" else made[kind](f"__{n}") for n, (kind, _, _) in values.items()}
-    sums = out.groupBy(F.col(key).alias("__k"), F.col(PART).alias("__p")).agg(*[c.alias(f"__{n}") for n, c in whole.items()])
+    whole = {n: F.max_by(c, F.when(c.isNotNull(), place)) if kind == "last" else made[kind](c) for n, (kind, c, _) in values.items()}
+    sums = parts.groupBy(F.col(key).alias("__k"), F.col(PART).alias("__p")).agg(*[c.alias(f"__{n}") for n, c in whole.items()])
     before = Window.partitionBy("__k").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     carry = sums.select("__k", "__p", *[made[kind](f"__{n}").over(before).alias(f"__c_{n}") for n, (kind, _, _) in values.items()])
-    for n, (kind, _, itself) in values.items():
-        out = out.withColumn(n, made[kind](f"__{n}").over(own.rowsBetween(Window.unboundedPreceding, 0 if itself else -1)))
-    out = out.join(carry, out[key].eqNullSafe(carry["__k"]) & (out[PART] == carry["__p"]), "left")
+    # Of a part only its first key can have begun before it, so there is a row a part at most.
+    carry = carry.where(" OR ".join(f"`__c_{n}` IS NOT NULL" for n in values))
+    n_tasks = -(-parts.count() // TASK_ROWS)
+    out = parts.repartition(n_tasks, key, PART) if n_tasks > int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")) else parts
+    for n, (kind, c, itself) in values.items():
+        out = out.withColumn(n, made[kind](c).over(own.rowsBetween(Window.unboundedPreceding, 0 if itself else -1)))
+    out = out.join(F.broadcast(carry), out[key].eqNullSafe(carry["__k"]) & (out[PART] == carry["__p"]), "left")
     out = out.withColumns({n: _carried(kind, F.col(n), F.col(f"__c_{n}")) for n, (kind, _, _) in values.items()})
-    return out.drop("__k", "__p", *[f"__{n}" for n in values], *[f"__c_{n}" for n in values])
+    return out.drop("__k", "__p", *[f"__c_{n}" for n in values])
 
 
 def numbered(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
@@ -60,13 +65,15 @@ def as_of(points: DataFrame, starts: DataFrame, key: str, at: str, start: str, *
     and points without a place, have nulls. Starts without a place are left out.
     """
     found = F.struct(F.col(start).alias("s"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
-    point = F.struct(*[F.col(c).alias(f"p{i}") for i, c in enumerate(points.columns)])
-    here = starts.where(F.col(start).isNotNull()).select(F.col(key).alias("key"), F.col(start).alias("place"), F.lit(0).alias("kind"), found.alias("found"))
-    rows = points.select(F.col(key).alias("key"), F.col(at).alias("place"), F.lit(1).alias("kind"), point.alias("point")).unionByName(here, allowMissingColumns=True)
+    # Keys and places stand in the rows anyway; what else a point has goes along.
+    kinds = dict(points.dtypes)
+    rest = [c for c in points.columns if c not in (key, at)]
+    here = starts.where(F.col(start).isNotNull()).select(F.col(key).alias("key"), F.col(start).alias("place"), F.lit(0).cast("byte").alias("kind"), found.alias("found"))
+    rows = points.select(F.col(key).alias("key"), F.col(at).alias("place"), F.lit(1).cast("byte").alias("kind"), *[F.col(c).alias(f"p{i}") for i, c in enumerate(rest)]).unionByName(here, allowMissingColumns=True)
     order = ["place", "kind", "found"]
     out = running(dealt(rows, "key", *order[:2]), "key", order, last=("last", F.col("found"), True)).where("kind = 1")
-    own = [F.col(f"point.p{i}").alias(c) for i, c in enumerate(points.columns)]
-    return out.select(*own, F.col("last.s").alias(start), *[F.col(f"last.c{i}").alias(c) for i, c in enumerate(columns)])
+    named = {key: F.col("key").cast(kinds[key]), at: F.col("place").cast(kinds[at])} | {c: F.col(f"p{i}") for i, c in enumerate(rest)}
+    return out.select(*[named[c].alias(c) for c in points.columns], F.col("last.s").alias(start), *[F.col(f"last.c{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def overlaps(spans: DataFrame, probes: DataFrame, key: str, start: str = "start", stop: str = "stop", name: str = "n") -> DataFrame:
@@ -79,8 +86,8 @@ def overlaps(spans: DataFrame, probes: DataFrame, key: str, start: str = "start"
     real = spans.where(F.col(start) < F.col(stop)).select(F.col(key).alias("key"), F.col(start).alias("a"), F.col(stop).alias("b"))
     asked = probes.where(F.col(start).isNotNull() & F.col(stop).isNotNull()).select(F.col(key).alias("key"), F.col(start).alias("a"), F.col(stop).alias("b")).distinct()
     # At one place: what ends there counts as ended and what begins there as not begun.
-    probe_events = F.array(F.struct(F.col("b").alias("place"), F.lit(0).alias("kind")), F.struct(F.col("a").alias("place"), F.lit(2).alias("kind")))
-    span_events = F.array(F.struct(F.col("b").alias("place"), F.lit(1).alias("kind")), F.struct(F.col("a").alias("place"), F.lit(3).alias("kind")))
+    probe_events = F.array(F.struct(F.col("b").alias("place"), F.lit(0).cast("byte").alias("kind")), F.struct(F.col("a").alias("place"), F.lit(2).cast("byte").alias("kind")))
+    span_events = F.array(F.struct(F.col("b").alias("place"), F.lit(1).cast("byte").alias("kind")), F.struct(F.col("a").alias("place"), F.lit(3).cast("byte").alias("kind")))
     rows = asked.select("key", "a", "b", F.inline(probe_events)).unionByName(real.select("key", F.inline(span_events)), allowMissingColumns=True)
     one = lambda kind: ("sum", F.when(F.col("kind") == kind, 1).otherwise(0), True)
     out = running(dealt(rows, "key", "place", "kind"), "key", ["place", "kind"], begun=one(3), ended=one(1))
