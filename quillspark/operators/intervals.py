@@ -39,7 +39,10 @@ def running(parts: DataFrame, key: str, order: list[str], **values: tuple[str, C
     own = Window.partitionBy(key, PART).orderBy(*order)
     place = F.struct(*order)
     whole = {n: F.max_by(c, F.when(c.isNotNull(), place)) if kind == "last" else made[kind](c) for n, (kind, c, _) in values.items()}
-    sums = parts.groupBy(F.col(key).alias("__k"), F.col(PART).alias("__p")).agg(*[c.alias(f"__{n}") for n, c in whole.items()])
+    # Only keys that lie in several parts carry something, one for each part at most; a sort of all rows for their sums is spared.
+    several = parts.select(F.col(key).alias("__k"), PART).distinct().groupBy("__k").count().where("count > 1").select("__k")
+    cut = parts.join(F.broadcast(several), parts[key].eqNullSafe(several["__k"]), "left_semi")
+    sums = cut.groupBy(F.col(key).alias("__k"), F.col(PART).alias("__p")).agg(*[c.alias(f"__{n}") for n, c in whole.items()])
     before = Window.partitionBy("__k").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     carry = sums.select("__k", "__p", *[made[kind](f"__{n}").over(before).alias(f"__c_{n}") for n, (kind, _, _) in values.items()])
     # Of a part only its first key can have begun before it, so there is a row a part at most.
