@@ -14,10 +14,12 @@ out: at 0.8 the estimate of a long text is off by 0.0125 in the mean, so it fall
 pairs in ten thousand, and that of a short text is hardly off.
 
 A round takes the best candidates between groups that are still apart and compares the two texts'
-whole sets. Links that hold join groups, others are not tried again. The first round meets ``HUBS``
-texts of each bucket and tries one candidate for a text, each later one all texts of other groups in
-the bucket and ``MORE`` times as many candidates. It ends when no candidate lies between two groups,
-so all are tried that could join some, in few rounds, and pairs within a group are never written.
+whole sets. Links that hold join groups, others are not tried again. In a bucket the texts beside its
+largest group look for candidates among all of it, so a large group is never met with itself, and a
+bucket of over ``PART`` texts is dealt to several tasks. The first round meets ``HUBS`` texts of each
+bucket and tries one candidate for a text, each later one all texts of other groups in the bucket and
+``MORE`` times as many candidates, in the buckets that had more of them than were taken. It ends when
+none had, so all are tried that could join some, in few rounds, and pairs within a group are never written.
 """
 
 from __future__ import annotations
@@ -40,7 +42,9 @@ FINGERPRINT_BITS = 5
 BANDS, WIDTH = 20, 5
 BINS, ESTIMATE = 1024, 0.76
 HUBS, MORE = 32, 8
-#: Rows of sketches that a task holds, or one bucket; candidates that it holds.
+#: Texts of a bucket that one task looks for, and looks among.
+PART = 1 << 12
+#: Rows of sketches that a task holds, or one part of a bucket; candidates that it holds.
 ROWS, EMIT = 1 << 14, 1 << 16
 #: Rows of numbers that a row with a text or sketch counts for.
 TEXT_ROWS = 16
@@ -124,62 +128,88 @@ def _signed(rows: DataFrame) -> DataFrame:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (who, key, node) of buckets with two nodes or more; ``who`` tells the bucket's nodes."""
+    """Rows (who, key, node, label) of buckets with two labels or more; ``who`` tells the bucket's nodes."""
     import xxhash
 
-    for key, node in _runs(batches, 1):
-        same = key[1:] == key[:-1]
-        some = np.append(same, False) | np.append(False, same)
-        key, node = key[some], node[some]
+    for key, node, label in _runs(batches, 1):
+        start = np.append(True, key[1:] != key[:-1])
+        bucket = np.cumsum(start) - 1
+        several = np.zeros(bucket[-1] + 1, bool)
+        several[bucket[label != label[start][bucket]]] = True
+        some = several[bucket]
+        key, node, label = key[some], node[some], label[some]
         cut = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)) if len(key) else np.zeros(1, np.int64)
         who = [xxhash.xxh64_intdigest(node[x:y].tobytes()) for x, y in zip(cut, cut[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(who, np.uint64), np.diff(cut)).view(np.int64)), pa.array(key), pa.array(node)], ["who", "key", "node"])
+        who = pa.array(np.repeat(np.array(who, np.uint64), np.diff(cut)).view(np.int64))
+        yield pa.RecordBatch.from_arrays([who, pa.array(key), pa.array(node), pa.array(label)], ["who", "key", "node", "label"])
 
 
-def _candidates(most: int):
-    """The task that finds, for each node of a bucket, its best candidates (key, a, b, alike) in other groups:
-    ``most`` of them, or one among the bucket's hubs where that is 1. Rows: key, node, label, failed, sketch.
-    A bucket with more nodes than hubs has a row without candidates, so that it is not thought done."""
+def _tried(node: np.ndarray, failed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of both nodes of each pair that was tried in vain, both ways round; ``node`` ascends."""
+    some = [i for i, f in enumerate(failed) if f is not None]
+    if not some:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, other = np.repeat(some, [len(failed[i]) for i in some]), np.concatenate([failed[i] for i in some])
+    b = np.minimum(np.searchsorted(node, other), len(node) - 1)
+    here = node[b] == other
+    return np.append(a[here], b[here]), np.append(b[here], a[here])
+
 
-    def best(node: np.ndarray, label: np.ndarray, sketches: np.ndarray, tried: set[tuple[int, int]], hubs: np.ndarray) -> Iterator[tuple[int, int, float]]:
+def _candidates(most: int):
+    """The task that finds, for each node of a part of a bucket that asks, its best candidates (key, a, b, alike)
+    in other groups: ``most`` of the part's held nodes, or one among its hubs where that is 1.
+    Rows: key, cell, node, label, asks, held, failed, sketch. A part where some are passed over has a row
+    without candidates, so that its bucket is not thought done."""
+
+    def best(node: np.ndarray, label: np.ndarray, asks: np.ndarray, held: np.ndarray, failed: np.ndarray, sketches: np.ndarray) -> Iterator[tuple | None]:
+        """Arrays (a, b, alike), and None where some were passed over."""
+        ask, hubs = np.flatnonzero(asks), np.flatnonzero(held)
+        over = most == 1 and len(hubs) > HUBS
+        if over:
+            hubs = hubs[np.unique(np.linspace(0, len(hubs) - 1, HUBS).astype(np.int64))]
+        place = np.full(len(node), -1)
+        place[hubs] = np.arange(len(hubs))
+        a, b = _tried(node, failed)
+        known = asks[a] & (place[b] >= 0)
+        a, b = np.searchsorted(ask, a[known]), place[b[known]]
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
         step = max(1, (1 << 20) // max(1, len(hubs)))
-        for i in range(0, len(node), step):
-            alike = estimates(sketches[i : i + step], sketches[hubs])
-            alike[label[i : i + step, None] == label[hubs][None, :]] = 0
-            for x, y in zip(*np.nonzero(alike >= ESTIMATE)):
-                if tried and (min(node[i + x], node[hubs[y]]), max(node[i + x], node[hubs[y]])) in tried:
-                    alike[x, y] = 0
+        for i in range(0, len(ask), step):
+            own = ask[i : i + step]
+            alike = estimates(sketches[own], sketches[hubs])
+            alike[label[own, None] == label[hubs][None, :]] = 0
+            x, y = np.searchsorted(a, (i, i + step))
+            alike[a[x:y] - i, b[x:y]] = 0
+            alike[alike < ESTIMATE] = 0
+            over = over or bool(((alike > 0).sum(axis=1) > most).any())
+            own, alike = own[some := alike.any(axis=1)], alike[some]
             take = np.argsort(-alike, axis=1, kind="stable")[:, :most]
-            for x in np.flatnonzero(alike.max(axis=1, initial=0) >= ESTIMATE):
-                for y in take[x]:
-                    if alike[x, y] >= ESTIMATE:
-                        a, b = int(node[i + x]), int(node[hubs[y]])
-                        yield min(a, b), max(a, b), float(alike[x, y])
+            alike = np.take_along_axis(alike, take, 1)
+            x, y = np.nonzero(alike)
+            one, other = node[own[x]], node[hubs[take[x, y]]]
+            yield np.minimum(one, other), np.maximum(one, other), alike[x, y].astype(np.float64)
+        if over:
+            yield None
 
     def table(found: list[tuple]) -> pa.RecordBatch:
-        keys, a, b, alike = zip(*found)
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (keys, a, b)), pa.array(alike, pa.float64())], ["key", "a", "b", "alike"])
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*found)], ["key", "a", "b", "alike"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, label, failed, tails in _runs(batches, 1, ROWS):
+        for key, cell, node, label, asks, held, failed, tails in _runs(batches, 2, ROWS):
             sketches = np.frombuffer(b"".join(tails), np.uint8).reshape(len(key), -1)
-            cut = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
-            found: list[tuple[int, int | None, int | None, float | None]] = []
+            cut = np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))), len(key))
+            found: list[tuple[pa.Array, ...]] = []
+            n = 0
             for x, y in zip(cut, cut[1:]):
-                if (label[x:y] == label[x]).all():
-                    continue
-                tried = {(min(int(n), int(o)), max(int(n), int(o))) for n, f in zip(node[x:y], failed[x:y]) if f is not None for o in f}
-                k = y - x
-                some = most == 1 and bool(k > HUBS)
-                hubs = np.unique(np.linspace(0, k - 1, HUBS).astype(np.int64)) if some else np.arange(k)
-                if some:
-                    found.append((int(key[x]), None, None, None))
                 # A pair may come from both of its nodes; equal ones become one after the shuffle.
-                for a, b, alike in best(node[x:y], label[x:y], sketches[x:y], tried, hubs):
-                    found.append((int(key[x]), a, b, alike))
-                    if len(found) >= EMIT:
+                for part in best(node[x:y], label[x:y], asks[x:y], held[x:y], failed[x:y], sketches[x:y]):
+                    a, b, alike = part or ([None], [None], [None])
+                    found.append((pa.array(np.full(len(a), key[x])), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(alike, pa.float64())))
+                    n += len(a)
+                    if n >= EMIT:
                         yield table(found)
-                        found = []
+                        found, n = [], 0
             if found:
                 yield table(found)
 
@@ -212,6 +242,31 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
+def _apart(rows: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """Rows (key, node, label) of those buckets of ``keys`` that hold two labels or more, each with its bucket's
+    number of nodes, the label of most of them and the number of the others."""
+    sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("key").agg(F.sum("n").alias("nodes"), F.max(F.struct("n", "label")).alias("m"))
+    sizes = sizes.select("key", "nodes", F.col("m.label").alias("main"), (F.col("nodes") - F.col("m.n")).alias("others")).where("others > 0")
+    # The keys meet the sizes, not the rows, which so are joined once a round.
+    return materialise(rows.join(sizes.join(keys, "key"), "key"), "shingle-apart", BANDS * n)
+
+
+def _dealt(buckets: DataFrame, hubs: bool) -> DataFrame:
+    """Rows of buckets with the part of the bucket, ``cell``, that they go to, and whether they ask or are held there.
+
+    The nodes beside the largest group ask; all are held. Of a large bucket each part of those that ask meets
+    each part of those that are held, or, for ``hubs``, those that share its part alone.
+    """
+    rows = buckets.withColumn("some", F.expr(f"ceil(nodes / {PART})")).withColumn("own", F.expr("pmod(xxhash64(node), some)"))
+    rows = rows.withColumn("turns", F.lit(1).cast("long") if hubs else F.expr(f"ceil(others / {PART})")).withColumn("turn", F.expr("pmod(xxhash64(node, 1), turns)"))
+    cells = "transform(sequence(0L, turns - 1), t -> own * turns + t)"
+    if not hubs:
+        cells = f"IF(label = main, {cells}, array_union({cells}, transform(sequence(0L, some - 1), p -> p * turns + turn)))"
+    rows = rows.withColumn("cell", F.explode(F.expr(cells)))
+    return rows.select("key", "cell", "node", "label", F.expr("label <> main AND cell % turns = turn").alias("asks"), F.expr("cell div turns = own").alias("held"), "failed", "sketch")
+
+
 def _groups(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, label): the groups that all links which hold make, of nodes with such a link.
 
@@ -219,32 +274,33 @@ def _groups(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     n = nodes.count()
     tried = _checked(materialise(_by_fingerprint(nodes, n), "shingle-pairs", n), texts)
-    keyed = nodes.select("node", F.explode("bands").alias("key")).select("key", "node")
-    buckets = materialise(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(arrow_task(_shared), "who long, key long, node long"), "shingle-shared", BANDS * n)
+    labels = components(tried.where("holds").select("a", "b"), "shingle", rows=n)
+    # Buckets that are one group have nothing left to join, and are not written.
+    named = nodes.select("node", "bands").join(labels, "node", "left").select(F.explode("bands").alias("key"), "node", F.coalesce("label", "node").alias("label"))
+    task = arrow_task(_shared)
+    buckets = materialise(named.repartition("key").sortWithinPartitions("key", "node").mapInArrow(task, "who long, key long, node long, label long"), "shingle-shared", BANDS * n)
     # Near copies share many keys: of buckets with the same nodes one is kept.
     one = buckets.groupBy("who").agg(F.min("key").alias("key")).select("key")
-    buckets = materialise(buckets.join(one, "key", "left_semi").select("key", "node"), "shingle-buckets", BANDS * n)
+    buckets = _apart(buckets.drop("who"), one, n)
     sketches = nodes.select("node", "sketch").hint("merge")
     most = 1
     while True:
-        labels = components(tried.where("holds").select("a", "b"), "shingle", rows=n)
         failed = tried.where("NOT holds").groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("failed"))
-        rows = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        # Buckets that are one group have nothing left to join, and their sketches stay where they are.
-        apart = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        buckets = materialise(rows.join(apart, "key", "left_semi").select("key", "node", "label"), "shingle-apart", BANDS * n)
-        rows = buckets.join(failed, "node", "left").join(sketches, "node").select("key", "node", "label", "failed", "sketch")
-        found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(arrow_task(_candidates(most)), "key long, a long, b long, alike double")
+        rows = _dealt(buckets.join(failed, "node", "left").join(sketches, "node"), most == 1)
+        found = rows.repartition("key", "cell").sortWithinPartitions("key", "cell", "node").mapInArrow(arrow_task(_candidates(most)), "key long, a long, b long, alike double")
         found = materialise(found, "shingle-candidates", BANDS * n)
-        # A bucket without a candidate never gets one: groups only grow, and tried pairs stay tried.
-        buckets = buckets.join(found.select("key").distinct(), "key", "left_semi").select("key", "node")
-        found = found.where("a IS NOT NULL").groupBy("a", "b").agg(F.max("alike").alias("alike"))
+        best = found.where("a IS NOT NULL").groupBy("a", "b").agg(F.max("alike").alias("alike"))
         nth = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("alike"), "a"))
-        pairs = materialise(found.withColumn("nth", nth).where(F.col("nth") <= most).select("a", "b"), "shingle-pairs", n * most)
+        pairs = materialise(best.withColumn("nth", nth).where(F.col("nth") <= most).select("a", "b"), "shingle-pairs", n * most)
+        # A bucket whose candidates are all taken gets no more: groups only grow, and tried pairs stay tried.
+        more = materialise(found.join(pairs, ["a", "b"], "left_anti").select("key").distinct(), "shingle-more", n)
         if not pairs.isEmpty():
             tried = tried.unionByName(_checked(pairs, texts))
-        elif most > 1:
+            labels = components(tried.where("holds").select("a", "b"), "shingle", rows=n)
+        if more.isEmpty():
             return labels
+        rows = buckets.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        buckets = _apart(materialise(rows, "shingle-named", BANDS * n), more, n)
         most *= MORE
 
 
