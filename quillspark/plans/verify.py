@@ -30,6 +30,11 @@ def prepare_corpus(papers: DataFrame, key: str = "paper_id") -> DataFrame:
 
     A document that is null or blank is not held; it has null forms.
     """
+    return materialise(made_corpus(papers, key), "corpus", packed=True)
+
+
+def made_corpus(papers: DataFrame, key: str = "paper_id") -> DataFrame:
+    """The rows of ``prepare_corpus``, not written."""
     # Only documents that may have a list are joined with its bounds, before their forms are made.
     asked = papers.select(key, "raw")
     none = asked.where(~region.has_hint(F.col("raw")))
@@ -42,7 +47,7 @@ def prepare_corpus(papers: DataFrame, key: str = "paper_id") -> DataFrame:
     before = F.when(F.col("region.start_char").isNull(), F.col("raw")).otherwise(F.substring("raw", F.lit(1), F.col("region.start_char").cast("int")))
     docs = docs.withColumn("__body", before).withColumn("__years", F.size(markers.author_year_udf("__body")).cast("long"))
     style = markers.style_column(markers.count_bracketed(F.col("__body")), F.col("__years"), F.col("region.start_char").isNotNull())
-    return materialise(docs.withColumn("marker_style", style).select(key, "raw", "norm", "match", "header_end", "pages", "region", "marker_style"), "corpus")
+    return docs.withColumn("marker_style", style).select(key, "raw", "norm", "match", "header_end", "pages", "region", "marker_style")
 
 
 def prepare_quotes(quotes: DataFrame, key: str = "quote_id") -> DataFrame:
