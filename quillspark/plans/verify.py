@@ -34,12 +34,12 @@ def prepare_corpus(papers: DataFrame, key: str = "paper_id") -> DataFrame:
 
 
 def made_corpus(papers: DataFrame, key: str = "paper_id") -> DataFrame:
-    """The rows of ``prepare_corpus``, not written."""
+    """The rows of ``prepare_corpus``, not written. ``papers`` may say by ``hinted`` which texts hold the words of a heading, so that no text is searched for them again."""
     # Only documents that may have a list are joined with its bounds, before their forms are made.
-    asked = papers.select(key, "raw")
-    none = asked.where(~region.has_hint(F.col("raw")))
+    hinted = F.col("hinted") if "hinted" in papers.columns else region.has_hint(F.col("raw"))
+    none = papers.where(~hinted).select(key, "raw")
     nowhere = F.struct(*region.unknown(F.col(key))[1:]).alias("region")
-    some = asked.where(region.has_hint(F.col("raw")))
+    some = papers.where(hinted).select(key, "raw")
     bounds = region.detect_hinted(some, key)
     some = some.join(bounds.select(key, F.struct(*[c for c in bounds.columns if c != key]).alias("region")), key, "left")
     docs = loc.prepare(none.select(key, "raw", nowhere).unionByName(some), key, "raw")

@@ -83,7 +83,7 @@ def test_no_corpus_and_no_moved_texts(spark, kept, monkeypatch, few):
     rows = [*DOCS, DOCS[0], DOCS[2], (None, "Of no key."), (None, DOCS[0][1])]
     kept.add(papers(spark, DOCS[:2]))
     kept.add(papers(spark, rows))
-    assert kept.added == 3 and kept.held().count() == 5 and written == ["store-fresh"] * 2 and "pages" not in kept.held().columns
+    assert kept.added == 3 and kept.held().count() == 5 and written == ["store-fresh", "store-texts"] * 2 and "pages" not in kept.held().columns
     forms = kept.forms(papers(spark, rows), norm_sha256=F.sha2("norm", 256))
     want = {r.raw: r.norm for r in verify.prepare_corpus(papers(spark, [r for r in rows if r[0]])).select("raw", "norm").collect()} | {"Of no key.": "Of no key."}
     got = sorted(map(str, forms.select("paper_id", "norm_sha256").collect()))
